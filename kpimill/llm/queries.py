@@ -29,6 +29,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kpimill.llm.mixing import mix_sources
+
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
