@@ -36,6 +36,13 @@ def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op4_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kpimill.llm.quality_rules import quality_verdicts
+
+    out = quality_verdicts(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
