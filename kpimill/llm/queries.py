@@ -11,6 +11,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: only for these queries: a deployment passes a secret of its own
+PSEUDONYM_KEY = "kpimill-demonstration-key"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kpimill.llm.pii import pseudonymise_documents
+
+    out = pseudonymise_documents(_table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+    return out.select("doc_id", "text", "lang", "source", "n_pseudonyms")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kpimill.llm.near_dedup import near_duplicates
 
