@@ -54,6 +54,16 @@ def op4_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
 
 
+def op9_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kpimill.llm.language_id import fold, identify_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    out = identify_languages(docs, docs.where(fold("doc_id", 5) != 0))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.round("score", 9).alias("score"), "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
