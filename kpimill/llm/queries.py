@@ -64,6 +64,19 @@ def op9_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.round("score", 9).alias("score"), "rejected")
 
 
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kpimill.llm.compression_classifier import score_quality
+    from kpimill.llm.language_id import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where((fold("doc_id", 4) != 2) & F.col("quality").isNotNull()).select("doc_id", "quality")
+    out = score_quality(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int")
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
