@@ -80,7 +80,8 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     """From (doc_id, text, quality 0 or 1): at most ``sample`` whole texts of each class.
 
-    One half of the sample makes the dictionaries, the other calibrates.  Without texts of both classes every score is
+    Each half of the sample is compressed with dictionaries of the other half to calibrate; the final dictionaries hold
+    pieces of the whole sample.  Without texts of both classes every score is
     the share of good ones (one half if there is none).
     """
     rows = []
@@ -93,12 +94,20 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
         p = (n1 + 1) / (len(rows) + 2)
         return Model(b"", b"", (math.log(p / (1 - p)), *[0.0] * (FEATURES - 1)))
     half = np.array([zlib.crc32(t) % 2 for _, t in rows])
-    own = [(q, t) for (q, t), h in zip(rows, half) if h == 0] or rows
-    m = Model(_dictionary([t for q, t in own if q == 1]), _dictionary([t for q, t in own if q == 0]), ())
-    rest = [(q, t) for (q, t), h in zip(rows, half) if h == 1]
-    if not 0 < sum(q for q, _ in rest) < len(rest):
-        rest = rows
-    x, y = m.features([t for _, t in rest]), np.array([q for q, _ in rest], float)
+
+    def with_dictionaries(own: list[tuple[int, bytes]]) -> Model:
+        return Model(_dictionary([t for q, t in own if q == 1]), _dictionary([t for q, t in own if q == 0]), ())
+
+    xs, ys = [], []
+    for h in (0, 1):
+        own, rest = [r for r, k in zip(rows, half) if k == h], [r for r, k in zip(rows, half) if k != h]
+        if rest and 0 < sum(q for q, _ in own) < len(own):
+            xs.append(with_dictionaries(own).features([t for _, t in rest]))
+            ys.append([q for q, _ in rest])
+    m = with_dictionaries(rows)
+    if not xs or len(set(sum(ys, []))) < 2:  # too few for halves
+        xs, ys = [m.features([t for _, t in rows])], [[q for q, _ in rows]]
+    x, y = np.concatenate(xs), np.array(sum(ys, []), float)
     w = np.zeros(FEATURES)
     ridge = np.diag([1e-6, *[1e-2] * (FEATURES - 1)])
     for _ in range(50):  # Newton's method for logistic regression
