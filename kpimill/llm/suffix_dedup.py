@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ from kpimill.llm.common import Staged, as_bytes, batched, free_shuffles, prefix_
 
 DEPTH, GRAM = 100, 20
 _U = np.uint64
-_SEGMENT = 1 << 20  #: bytes looked at together; a run that crosses a segment's end counts as two
+_SEGMENT = 1 << 19  #: bytes looked at together; a run that crosses a segment's end counts as two
 _G = _U((1 << 48) - 1)
-_FLUSH = 1 << 20  #: records that a task packs together
+_FLUSH = 1 << 19  #: records that a task packs together
 
 
 def _windows(data: np.ndarray, doc_of: np.ndarray, ends: np.ndarray, depth: int):
@@ -102,9 +103,12 @@ def _pack(buckets: int, first, second, doc, lo, count) -> Iterator[tuple[int, by
             yield int(bucket[o[0]]), len(o).to_bytes(8, "little") + z.compress(b"".join(planes))
 
 
-def _unpack(payloads: list[bytes]):
+def _unpack(table: pa.Table):
+    """The records of a bucket, and the stretches already known as repeats that came with them."""
+    packed = pc.is_valid(table.column("payload"))
+    rest = table.filter(pc.invert(packed))
     parts = []
-    for p in payloads:
+    for p in table.filter(packed).column("payload").to_pylist():
         n, raw, at, cols = int.from_bytes(p[:8], "little"), zstandard.ZstdDecompressor().decompress(p[8:]), 0, []
         for t in (_U, _U, np.int64, np.int64, np.int32):
             w = np.dtype(t).itemsize
@@ -112,14 +116,19 @@ def _unpack(payloads: list[bytes]):
             at += n * w
         cols[0] = np.cumsum(cols[0], dtype=_U)
         parts.append(cols)
-    return [np.concatenate(c) for c in zip(*parts)]
+    records = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, t) for t in (_U, _U, np.int64, np.int64, np.int32)]
+    return records, [rest.column(c).to_numpy() for c in ("doc_id", "lo", "hi")]
+
+
+def _with(known, *columns):
+    return [np.concatenate(x) for x in zip(known, columns)]
 
 
 def _first_of_equal(first, second, doc, lo):
     """Order by (first, second, doc, lo); in that order: whether a record starts a group, and whether it repeats another place."""
     o = np.lexsort((lo, doc, second, first))
     f, s, d, p = first[o], second[o], doc[o], lo[o]
-    head = np.concatenate(([True], (np.diff(f) != 0) | (np.diff(s) != 0)))
+    head = np.concatenate(([True], (np.diff(f) != 0) | (np.diff(s) != 0)))[: len(o)]
     at = np.flatnonzero(head)[np.cumsum(head) - 1]
     return o, head, (d != d[at]) | (p != p[at])
 
@@ -164,8 +173,7 @@ class _Combiner:
         d, a, b = _runs(doc[r], lo[r], lo[r] + count[r] - 1 + self.depth)
         for at in range(0, len(d), 1 << 16):
             s = slice(at, at + (1 << 16))
-            none = [None] * len(d[s])
-            yield record_batch(_OUT, bucket=none, payload=none, doc_id=d[s], lo=a[s], hi=b[s])
+            yield record_batch(_OUT, bucket=d[s] % self.buckets, payload=[None] * len(d[s]), doc_id=d[s], lo=a[s], hi=b[s])
         o = o[head]
         for bucket, payload in _pack(self.buckets, first[o], second[o], doc[o], lo[o], count[o]):
             yield record_batch(_OUT, bucket=[bucket], payload=[payload], doc_id=[None], lo=[None], hi=[None])
@@ -196,13 +204,13 @@ def _pass_stretches(depth: int):
     """Per bucket: repeats of whole runs, and the runs whose digit also begins other stretches (digit and n set)."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, second, doc, lo, count = _unpack(table.column("payload").to_pylist())
+        (first, second, doc, lo, count), known = _unpack(table)
         o, head, repeat = _first_of_equal(first, second, doc, lo)
         r = o[repeat]
-        d, a, b = _runs(doc[r], lo[r], lo[r] + count[r] - 1 + depth)
+        d, a, b = _runs(*_with(known, doc[r], lo[r], lo[r] + count[r] - 1 + depth))
         keep = o[head]
         f = first[keep]
-        same = np.concatenate(([False], np.diff(f) == 0))
+        same = np.concatenate(([False], np.diff(f) == 0))[: len(f)]
         several = same | np.concatenate((same[1:], [False]))
         k = keep[several]
         return pa.table(
@@ -239,10 +247,10 @@ def _pass_windows(buckets: int, depth: int):
 
 def _repeats(depth: int):
     def run(table: pa.Table) -> pa.Table:
-        first, second, doc, lo, _ = _unpack(table.column("payload").to_pylist())
+        (first, second, doc, lo, _), known = _unpack(table)
         o, _, repeat = _first_of_equal(first, second, doc, lo)
         r = o[repeat]
-        d, a, b = _runs(doc[r], lo[r], lo[r] + depth)
+        d, a, b = _runs(*_with(known, doc[r], lo[r], lo[r] + depth))
         return pa.table({"doc_id": d, "lo": a, "hi": b})
 
     return run
@@ -297,19 +305,19 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
     size = named.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(32, -(-size // bucket_bytes))
-    digits = Staged(named.mapInArrow(_pass_digits(buckets, depth), _OUT_SQL), "digits")
-    payloads = digits.df().where("payload is not null").select("bucket", "payload")
-    runs = Staged(payloads.groupBy("bucket").applyInArrow(_pass_stretches(depth), _RUN_SQL), "runs")
+    digits = named.mapInArrow(_pass_digits(buckets, depth), _OUT_SQL)
+    runs = Staged(digits.groupBy("bucket").applyInArrow(_pass_stretches(depth), _RUN_SQL), "runs")
+    del digits
     free_shuffles(spark)
     todo = runs.df().where("digit is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "digit")).alias("runs"))
-    windows = Staged(named.join(todo, "doc_id").select("doc_id", "text", "runs").mapInArrow(_pass_windows(buckets, depth), _OUT_SQL), "windows")
+    windows = named.join(todo, "doc_id").select("doc_id", "text", "runs").mapInArrow(_pass_windows(buckets, depth), _OUT_SQL)
+    equal = Staged(windows.groupBy("bucket").applyInArrow(_repeats(depth), "doc_id long, lo long, hi long"), "equal")
+    del todo, windows
     free_shuffles(spark)
-    equal = windows.df().where("payload is not null").groupBy("bucket").applyInArrow(_repeats(depth), "doc_id long, lo long, hi long")
-    gone = digits.df().where("payload is null").select("doc_id", "lo", "hi")
-    gone = gone.unionByName(runs.df().where("digit is null").select("doc_id", "lo", "hi"))
-    gone = gone.unionByName(windows.df().where("payload is null").select("doc_id", "lo", "hi")).unionByName(equal)
+    gone = runs.df().where("digit is null").select("doc_id", "lo", "hi").unionByName(equal.df())
     spans = Staged(gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    for x in (digits, runs, windows):
+    del gone
+    for x in (runs, equal):
         x.drop()
     free_shuffles(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
