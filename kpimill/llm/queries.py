@@ -83,6 +83,15 @@ def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from kpimill.llm.common import shared_root
+    from kpimill.llm.token_counts import document_token_counts
+
+    return document_token_counts(_table(spark, sf_dir, "documents"), f"{shared_root(spark)}/tokens-{uuid.uuid4().hex[:12]}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

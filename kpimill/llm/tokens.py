@@ -11,12 +11,13 @@ _SPACES = re.compile(r"\s\s")
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, ordinary: bool = False):
     """text -> list of ids, as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
     Where the same vocabulary lies beside the file as ranks, most texts go through tiktoken.  Its pattern looks ahead
     only to split runs of white space, so texts without such runs take the pattern without that part, which its engine
-    matches several times faster.  Texts that spell a special token, and files without ranks, go to ``tokenizers``.
+    matches several times faster.  Texts that spell a special token, and files without ranks, go to ``tokenizers``.  With
+    ``ordinary``, special tokens spelt in a text are ordinary text.
     """
     import os
 
@@ -24,6 +25,7 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = ordinary
 
     def whole(text: str) -> list[int]:
         return slow.encode(text, add_special_tokens=False).ids
@@ -41,7 +43,7 @@ def encoder(path: str):
     plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text and not ordinary:
             return whole(text)
         return full(text) if _SPACES.search(text) else plain(text)
 
