@@ -9,7 +9,8 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _ROOTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
@@ -68,6 +69,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def smallest_hashes(df: DataFrame, group: str, each: int, h: str = "h", text: str = "text") -> DataFrame:
+    """At most ``each`` rows of each value of ``group``, by the smallest (``h``, ``text``), where ``h`` is a 64-bit hash.
+
+    The counts of the groups (few, like languages or labels) tell below which hash four times as many rows as needed
+    lie; only those are shuffled, however large the table is.
+    """
+    counts = df.groupBy(group).count().collect()
+    if not counts:
+        return df
+    share = {r[group]: min(1.0, (4 * each + 100) / r["count"]) for r in counts}
+    cut = F.create_map(*[F.lit(x) for g, p in share.items() for x in (g, (1 << 63) - 1 if p == 1.0 else int(-(1 << 63) + p * (1 << 64)))])
+    few = df.where(F.col(h) <= cut[F.col(group)])
+    return few.withColumn("__at", F.row_number().over(Window.partitionBy(group).orderBy(h, text))).where(F.col("__at") <= each).drop("__at")
+
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

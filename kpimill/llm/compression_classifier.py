@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpimill.llm.common import batched, record_batch
+from kpimill.llm.common import batched, record_batch, smallest_hashes
 
 BLOCK = 4096  #: bytes compressed together: long texts must not become their own dictionary
 DICTIONARY = 512 << 10
@@ -84,10 +84,9 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     pieces of the whole sample.  Without texts of both classes every score is
     the share of good ones (one half if there is none).
     """
-    rows = []
-    for q in (0, 1):
-        part = train.where(F.col("quality") == q).select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-        rows += [(q, r.text.encode()) for r in part.orderBy("h", "text").limit(sample).collect()]
+    known = train.where(F.col("quality").isin(0, 1)).select("quality", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = sorted((r.quality, r.h, r.text.encode()) for r in smallest_hashes(known, "quality", sample).collect())
+    rows = [(q, t) for q, _, t in rows]
     labels = np.array([q for q, _ in rows])
     n1 = int(labels.sum())
     if not 0 < n1 < len(rows):

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpimill.llm.common import as_bytes, batched, record_batch
+from kpimill.llm.common import batched, record_batch, smallest_hashes
 
 BINS = 4096
 CENTROIDS = 3
@@ -84,7 +84,7 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin: float = 0.7) -> Model:
+def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin: float = 0.4) -> Model:
     """From (doc_id, text, lang); rows without a letter or a language teach nothing.
 
     At most ``rows`` whole texts in all, equally many of each language, by the smallest hashes of id and text.  A language
@@ -95,7 +95,7 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin:
     if not languages:
         return Model([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros(0))
     each = max(1, rows // languages)
-    top = train.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= each)
+    top = smallest_hashes(train, "lang", each)
 
     def counted(batches):
         for rb in batches:
