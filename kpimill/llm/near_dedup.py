@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     be given up before its exact check.
 
     Null and empty texts have an empty set, link with nothing and are kept.  A row without an id takes no part: its
-    component is null and it is kept.  Rows that share an id are one document with several texts.  Other columns are
-    ignored, whatever their names; an empty table gives an empty result.
+    component is null and it is kept.  Rows that share an id are judged each by its own text.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, digest binary, bands binary, sig binary"
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
     by_class = classes.df().select("digest", "node").join(comp.df(), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = table.df().select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     for x in (members, texts, more, edges, late):
         x.drop()
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
