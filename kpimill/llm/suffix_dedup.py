@@ -6,12 +6,12 @@ a suffix whose group has one member retires from all later passes.
 
 1. A window's leading digit is the ``GRAM``-byte string with the smallest hash in it.  Equal windows have equal digits
    at equal places, and neighbouring windows share theirs, so a text has one record for each run of windows with the
-   same digit (about one for 40 bytes) instead of one for each suffix.
+   same digit (about one for 20 bytes) instead of one for each suffix.
 2. Within a digit, runs are ordered by their next digit, the whole stretch of bytes that the run covers.  Equal runs are
    repeats of the first; what differs in this digit goes on.
 3. The windows of the runs left over are ordered by all their ``depth`` bytes.
 
-Digits are compared by hashes: 112 bits in pass 2 and in pass 3.  Records travel packed, dealt by hash, after each
+Digits are compared by hashes, of 96 bits together in pass 2 and in pass 3.  Records travel packed, dealt by hash, after each
 task has kept the first of those that are equal in it, so that a passage that a third of all texts share counts once a
 task.
 """
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from kpimill.llm.common import Staged, as_bytes, batched, free_shuffles, prefix_hash, record_batch, span_hash
 
-DEPTH, GRAM = 100, 20
+DEPTH, GRAM = 100, 60
 _U = np.uint64
 _SEGMENT = 1 << 19  #: bytes looked at together; a run that crosses a segment's end counts as two
-_G = _U((1 << 48) - 1)
+_G, _H, _W = _U((1 << 48) - 1), _U((1 << 40) - 1), _U((1 << 56) - 1)
 _FLUSH = 1 << 19  #: records that a task packs together
 
 
@@ -64,7 +64,7 @@ def _windows(data: np.ndarray, doc_of: np.ndarray, ends: np.ndarray, depth: int)
     count = np.diff(np.concatenate((new, [len(starts)])))
     lo = starts[new]
     a = best[new]
-    return lo, count, span_hash(h, a, a + gram) & _G, span_hash(h, lo, lo + count - 1 + depth)
+    return lo, count, span_hash(h, a, a + gram) & _G, span_hash(h, lo, lo + count - 1 + depth) & _G
 
 
 def _segments(ids: np.ndarray, texts: list[bytes], depth: int):
@@ -238,8 +238,8 @@ def _pass_windows(buckets: int, depth: int):
                     for r in runs:
                         lo = np.arange(max(r["lo"], at), min(r["lo"] + r["n"], at + _SEGMENT, len(text) - depth + 1))
                         if len(lo):
-                            full = span_hash(h, lo - at, lo - at + depth)
-                            yield from c.add(full, np.full(len(lo), r["digit"], _U), np.full(len(lo), i, np.int64), lo, np.ones(len(lo), np.int32))
+                            full = span_hash(h, lo - at, lo - at + depth) & _W
+                            yield from c.add(full, np.full(len(lo), r["digit"], _U) & _H, np.full(len(lo), i, np.int64), lo, np.ones(len(lo), np.int32))
         yield from c.flush()
 
     return run
