@@ -96,6 +96,15 @@ def report_pivot(spark, d):
     return RO.pivot(long, names).select("year", "grp", "metric", *[F.col(n).alias(f"v_{n.lower().replace(' ', '_')}") for n in names])
 
 
+@query
+def report_pivot_all(spark, d):
+    """The pivot with a column for every fund of the findings, in order of their names."""
+    merged = _merged(spark, d)
+    names = sorted(r.fund for r in merged.select("fund").distinct().collect())
+    long = RO.dense(merged, I.metric_defs(spark, d), I.funds(spark, d))
+    return RO.pivot(long, names).select("year", "grp", "metric", *[F.col(f"`{n}`").alias(f"v_{n.lower().replace(' ', '_')}") for n in names])
+
+
 @query
 def metric_groups(spark, d):
     return RO.grouped_metrics(I.metric_defs(spark, d))

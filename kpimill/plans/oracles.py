@@ -116,6 +116,7 @@ SQL: dict[str, str] = {
     ),
     "report_dense": _with(_F1, _MERGED, _DEFS, _DENSE, then="SELECT * FROM dense"),
     "report_pivot": _with(_F1, _MERGED, _DEFS, _DENSE, then="SELECT year, grp, metric, " + ", ".join(f"max(CASE WHEN fund = '{n}' THEN value END) AS v_{n.lower().replace(' ', '_')}" for n in PIVOT_FUNDS) + " FROM dense WHERE fund IN (" + ", ".join(f"'{n}'" for n in PIVOT_FUNDS) + ") GROUP BY year, grp, metric"),
+    "report_pivot_all": _with(_F1, _MERGED, _DEFS, _DENSE, "named AS (SELECT year, grp, metric, concat('v_', replace(lower(fund), ' ', '_')) AS fund, value FROM dense)", then="SELECT * FROM (PIVOT named ON fund USING max(value) GROUP BY year, grp, metric)"),
     "metric_groups": _with(_DEFS, then="SELECT metric, metric_ord, grp, grp_ord FROM groups"),
     "fund_short_names": _with(_DEFS, then="SELECT n_name AS fund, coalesce(short_name, n_name) AS short_name FROM nation LEFT JOIN reg ON official_name = n_name"),
     "report_sheets": _with(_F1, _MERGED, then="SELECT translate(substr(fund, 1, 31), '/\\:', '---') AS sheet, count(*) AS n_rows FROM merged GROUP BY fund"),

@@ -41,3 +41,13 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert got == sorted(tuple(_plain(r[k]) for k in order) for r in cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pivot_of_all_funds_loses_none(spark):
+    got = QUERIES["report_pivot_all"](spark, SF)
+    cells = QUERIES["report_dense"](spark, SF).where("value is not null").select("year", "fund", "metric", "value")
+    funds = {r.fund for r in cells.select("fund").distinct().collect()}
+    assert len(funds) > 5 and {f"v_{f.lower().replace(' ', '_')}" for f in funds} <= set(got.columns)
+    values = [c for c in got.columns if c.startswith("v_")]
+    assert sum(v is not None for r in got.select(values).collect() for v in r) == cells.count()
