@@ -2,12 +2,13 @@
 
 A text's vector holds its hashed byte n-grams, with damped counts weighted by inverse document frequency and scaled to
 length one.  Every language has several centroids, found by spherical k-means over its training texts; a text takes the
-language of the centroid with the largest cosine, and is rejected when even that is further away than nearly all of the
-language's own training texts are.
+language of the centroid with the largest cosine, and is rejected when even that is further away than nearly all
+training texts of like length are from centroids that were learned without them.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from kpimill.llm.common import batched, record_batch, smallest_hashes
 BINS = 4096
 CENTROIDS = 3
 TRAIN_ROWS = 2000  #: most training texts for all languages together; whole texts, the smallest id hashes of each language
+FOLDS = 4  #: parts of the training texts, each held out once when the limits of rejection are set
+PIECES = (16, 32, 64, 128, 256)  #: bytes of the heads of training texts that stand in for short texts
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -64,7 +67,7 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # cosine below which a centroid's language is not believed
+    least: np.ndarray  # cosine below which no language is believed, by the binary logarithm of a text's bytes
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.sqrt(counts) * self.idf
@@ -72,6 +75,23 @@ class Model:
         return v / np.where(n > 0, n, 1)
 
 
+def _octave(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(size, 1))).astype(int)
+
+
+def _least(size: np.ndarray, cos: np.ndarray, reject: float) -> np.ndarray:
+    """The ``reject`` quantile of the cosines of each octave of sizes, longer texts taking that of the last one.
+
+    An octave with too few texts to show that quantile takes in those of nearest size.
+    """
+    at, need = np.log2(np.maximum(size, 1)), min(len(size), math.ceil(1 / reject))
+    out = []
+    for k in range(int(_octave(size).max()) + 1):
+        off = np.maximum(np.maximum(k - at, at - k - 1), 0)
+        out.append(np.quantile(cos[off <= np.sort(off)[need - 1]], reject))
+    return np.array(out)
+
+
 def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = [v[0]]
     for _ in range(1, min(k, len(v))):  # each further start is the row furthest from those so far
@@ -84,16 +104,18 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin: float = 0.4) -> Model:
+def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin: float = 0.8) -> Model:
     """From (doc_id, text, lang); rows without a letter or a language teach nothing.
 
-    At most ``rows`` whole texts in all, equally many of each language, by the smallest hashes of id and text.  A language
-    is rejected below ``margin`` times the ``reject`` quantile of its own training texts' cosines.
+    At most ``rows`` whole texts in all, equally many of each language, by the smallest hashes of id and text.  A text is
+    rejected below ``margin`` times the ``reject`` quantile of the cosines that training texts of its length, and heads
+    of that length, have to their own language's centroids when those are learned from the other folds; the margin allows
+    for so low a quantile coming from a few hundred texts.
     """
     train = train.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("text").rlike(r"\p{L}"))
     languages = train.select("lang").distinct().count()
     if not languages:
-        return Model([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros(0))
+        return Model([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros(1))
     each = max(1, rows // languages)
     top = smallest_hashes(train, "lang", each)
 
@@ -101,22 +123,39 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin:
         for rb in batches:
             for at, texts in batched(rb.column(1), 1 << 20):
                 c = gram_counts(texts)
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), pa.array([x.tobytes() for x in c], pa.binary())], names=["lang", "counts"])
+                size, head = pa.array([len(t) for t in texts], pa.int64()), pa.array([t[: max(PIECES)] for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), size, head, pa.array([x.tobytes() for x in c], pa.binary())], names=["lang", "size", "head", "counts"])
 
-    got = sorted(top.select("lang", "text").mapInArrow(counted, "lang string, counts binary").collect(), key=lambda r: (r.lang, bytes(r.counts)))
+    got = sorted(top.select("lang", "text").mapInArrow(counted, "lang string, size long, head binary, counts binary").collect(), key=lambda r: (r.lang, bytes(r.counts), bytes(r.head)))
     counts = np.array([np.frombuffer(r.counts, np.float32) for r in got])
     lang = np.array([r.lang for r in got], object)
+    size = np.array([r.size for r in got])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    m = Model([], np.zeros((0, BINS), np.float32), idf, np.zeros(0))
+    m = Model([], np.zeros((0, BINS), np.float32), idf, np.zeros(1))
     v = m.vectors(counts)
-    cents, least = [], []
+    cents, held = [], []
     for x in sorted(set(lang)):
-        own = v[lang == x]
-        c = _kmeans(own, CENTROIDS)
+        own = np.flatnonzero(lang == x)
+        c = _kmeans(v[own], CENTROIDS)
         m.languages += [x] * len(c)
         cents.append(c)
-        least += [margin * float(np.quantile(np.max(own @ c.T, axis=1), reject))] * len(c)
-    m.centroids, m.least = np.concatenate(cents).astype(np.float32), np.array(least)
+        part = np.random.default_rng(0).permutation(len(own)) % FOLDS  # rows are in order of their counts
+        for f in range(FOLDS):
+            out, rest = own[part == f], own[part != f]
+            if len(out) and len(rest):
+                held.append((out, _kmeans(v[rest], CENTROIDS)))
+    m.centroids = np.concatenate(cents).astype(np.float32)
+    sizes, cos = [], []
+    for out, c in held:
+        sizes.append(size[out])
+        cos.append(np.max(v[out] @ c.T, axis=1))
+        for n in PIECES:
+            heads = [t for t in (bytes(got[i].head)[:n] for i in out if size[i] > n) if _LETTER.search(t.decode("utf-8", "ignore"))]
+            if heads:
+                sizes.append(np.full(len(heads), n))
+                cos.append(np.max(m.vectors(gram_counts(heads)) @ c.T, axis=1))
+    if held:
+        m.least = margin * _least(np.concatenate(sizes), np.concatenate(cos), reject)
     return m
 
 
@@ -128,13 +167,14 @@ def _predict(m: Model):
         for rb in batches:
             for at, texts in batched(rb.column(1), 1 << 20):
                 cos = m.vectors(gram_counts(texts)) @ m.centroids.T if m.languages else np.zeros((len(texts), 0))
+                least = m.least[np.minimum(_octave(np.array([len(t or b"") for t in texts])), len(m.least) - 1)]
                 pred, score, rejected = [], [], []
-                for row, t in zip(cos, texts):
+                for row, low, t in zip(cos, least, texts):
                     if t is None or not len(row) or not _LETTER.search(t.decode("utf-8", "replace")):
                         got = (UNKNOWN, 0.0, True)
                     else:
                         k = int(np.argmax(row))
-                        got = (m.languages[k], float(min(max(row[k], 0.0), 1.0)), bool(row[k] < m.least[k]))
+                        got = (m.languages[k], float(min(max(row[k], 0.0), 1.0)), bool(row[k] < low))
                     for x, y in zip((pred, score, rejected), got):
                         x.append(y)
                 yield record_batch(_OUT, doc_id=rb.column(0).slice(at, len(texts)), lang_pred=pred, score=score, rejected=rejected)

@@ -358,6 +358,25 @@ def test_language_edges(edge, real):
     assert (one[0] == many[1]).all() and not many[2].any()
 
 
+def test_long_foreign_and_random_texts_are_rejected(spark):
+    from kpimill.llm.language_id import fit, fold, identify_languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit(docs.where(fold("doc_id", 5) != 0))
+    r = np.random.default_rng(1)
+    noise = lambda n: " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(2, 11))) for _ in range(n))
+    foreign = [
+        "De gemeente heeft dit jaar besloten dat de wegen in het noorden van het land worden hersteld voordat de winter begint. Veel mensen wachten al lang op dit besluit en hopen dat het werk snel klaar is. ",
+        "Kommunen har i år bestemt at veiene nord i landet skal settes i stand før vinteren kommer. Mange mennesker har ventet lenge på dette og håper at arbeidet snart blir ferdig. ",
+        "Pemerintah kota tahun ini memutuskan bahwa jalan di bagian utara akan diperbaiki sebelum musim hujan tiba. Banyak orang sudah lama menunggu keputusan ini dan berharap pekerjaan segera selesai. ",
+    ]
+    texts = [t * 12 for t in foreign] + [noise(n) for n in (300, 300, 3000, 3000)]
+    got = identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), docs, model=model).collect()
+    assert len(got) == len(texts) and all(x.rejected for x in got)
+    held = identify_languages(docs.where(fold("doc_id", 5) == 0), docs, model=model).toPandas()
+    assert held.rejected.mean() <= 0.01
+
+
 # --- neighbours ---
 
 
