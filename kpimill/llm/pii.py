@@ -17,10 +17,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Characters of an IBAN by country, from the SWIFT registry; other IBANs are told by their check digits alone
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Countries of known length first, so that a word that follows stays outside."""
+    known = [rf"(?:{names.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_SIZES.items()]
+    other = rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_\-]{8,256}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_~=.\-]{7,}[A-Za-z0-9+/_~=\-]",
+    "iban": _iban_pattern(),
     "phone": r"(?<![0-9A-Za-z+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![0-9A-Za-z])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![0-9A-Za-z\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
     r"|(?<![0-9A-Za-z+])\+[2-9]\d{0,2}(?:[ \-]\d{2,4}){2,4}(?!\d)|(?<![0-9A-Za-z+])\+\d{9,15}(?!\d)",
     "ip": r"(?<![0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
@@ -166,13 +180,25 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
 
 
+def _iban_digits(s: Column) -> Column:
+    return _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4)))
+
+
 def _iban(h: Column, key: str) -> Column:
-    s = F.replace(h, F.lit(" "), F.lit(""))
-    country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    new = feistel_text(body, key, "iban")
-    whole = _let(new, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-    ok = _mod97(F.concat(body, F.substring(s, 1, 4))) == 1
-    return F.when(ok, _let(whole, lambda w: _fill(h, w, "[A-Z0-9]", "[^A-Z0-9]"))).otherwise(h)
+    """The longest run of whole words from the start whose check digits are right; words after it stay."""
+
+    def one(v: Column) -> Column:
+        s = F.replace(v, F.lit(" "), F.lit(""))
+        country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
+        new = feistel_text(body, key, "iban")
+        whole = _let(new, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        return F.concat(_let(whole, lambda w: _fill(v, w, "[A-Z0-9]", "[^A-Z0-9]")), F.substring(h, F.length(v) + 1, F.length(h)))
+
+    known = h.rlike("^(?:" + "|".join(IBAN_SIZES.values()).replace(" ", "|") + ")")
+    words = F.size(F.split(h, " "))
+    runs = F.when(known, F.array(h)).otherwise(F.transform(F.sequence(words, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(F.split(h, " "), F.lit(1), k), " ")))
+    good = F.filter(runs, lambda v: (F.length(F.replace(v, F.lit(" "), F.lit(""))) >= 12) & (_iban_digits(F.replace(v, F.lit(" "), F.lit(""))) == 1))
+    return _let(good, lambda g: F.when(F.size(g) > 0, _let(F.get(g, F.lit(0)), one)).otherwise(h))
 
 
 def _email(h: Column, key: str) -> Column:
@@ -186,7 +212,9 @@ def _email(h: Column, key: str) -> Column:
 def _secret(h: Column, key: str) -> Column:
     head = F.regexp_extract(h, r"^(?:AKIA|[A-Za-z_]+\s*[=:]\s*\"?)", 0)
     value = F.substring(h, F.length(head) + 1, F.length(h))
-    return F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), feistel_text(value, key, "hex", hexadecimal=True)).otherwise(feistel_text(value, key, "secret")))
+    # a long token goes block by block, as the work for one grows with the square of its length
+    blocks = lambda tweak, hexadecimal: F.array_join(F.transform(F.regexp_extract_all(value, F.lit(".{1,256}"), F.lit(0)), lambda b: feistel_text(b, key, tweak, hexadecimal)), "")
+    return F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), blocks("hex", True)).otherwise(blocks("secret", False)))
 
 
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "ip": _ip, "date": _date, "person": _person, "card": _card}

@@ -277,6 +277,24 @@ def test_pseudonyms(spark, edge):
     assert collections.Counter((r.doc_id, r.text, r.n_pseudonyms) for r in same.collect()) == collections.Counter((i, t, 0) for i, t, *_ in EDGE)
 
 
+def test_pseudonyms_of_values_with_neighbours(spark):
+    from kpimill.llm.pii import pseudonymise_documents
+
+    token = "Ab3." * 200 + "end9"
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "SE4550000000058398257466", "AT61 1904 3002 3457 3201", "ZZ82 1234 5678"]
+    rows = [f"pay {ibans[0]} EUR", f"to {ibans[1]} BIC GEBA 4111 1111 1111 1111", f"{ibans[2]} SEK", f"{ibans[3]} 2024 NOW or {ibans[0]} by", f"{ibans[4]} 99 ABC", f"password={token} after", "token: abcd.efgh.ijkl. Then", "secret=abcdefg."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in pseudonymise_documents(df, "k").collect()}
+    assert [got[k][1] for k in range(8)] == [1, 2, 1, 2, 1, 1, 1, 0]
+    assert all(len(got[k][0]) == len(t) for k, t in enumerate(rows)) and not any(i in got[k][0] for k in range(5) for i in ibans)
+    assert got[0][0].endswith(" EUR") and " BIC GEBA " in got[1][0] and "4111 1111" not in got[1][0] and got[2][0].endswith(" SEK") and " 2024 NOW or " in got[3][0] and got[4][0].endswith(" 99 ABC")
+    mod97 = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    assert mod97(got[0][0][4:-4].replace(" ", "")) == mod97(got[2][0][:-4]) == mod97(got[4][0][:-7].replace(" ", "")) == 1
+    hidden = got[5][0].removeprefix("password=").removesuffix(" after").split(".")
+    assert len(hidden) == 201 and sum(a == b for a, b in zip(hidden, token.split("."))) < 5
+    assert re.fullmatch(r"token: [a-z]{4}\.[a-z]{4}\.[a-z]{4}\. Then", got[6][0]) and not set(re.findall("[a-z]{4}", got[6][0])) & {"abcd", "efgh", "ijkl"}
+
+
 def test_feistel_permutes(spark):
     from kpimill.llm.pii import feistel_number, feistel_text
 
