@@ -35,14 +35,14 @@ KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_~=.\-]{7,}[A-Za-z0-9+/_~=\-]",
     "iban": _iban_pattern(),
-    "phone": r"(?<![0-9A-Za-z+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![0-9A-Za-z])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![0-9A-Za-z\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
+    "phone": r"(?<![0-9A-Za-z+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![0-9A-Za-z])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![0-9A-Za-z\-])\d{3}-\d{3}-\d{4}(?![\d\-])|(?<![0-9A-Za-z.])\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)"
     r"|(?<![0-9A-Za-z+])\+[2-9]\d{0,2}(?:[ \-]\d{2,4}){2,4}(?!\d)|(?<![0-9A-Za-z+])\+\d{9,15}(?!\d)",
     "ip": r"(?<![0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![0-9\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?![0-9\-/]|\.\d)",
     "person": r"(?<![0-9\-])\d{6}[\-+]\d{4}(?![0-9\-])|(?<![0-9\-])\d{3}-\d{2}-\d{4}(?![0-9\-])",
-    "card": r"(?<![0-9])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4})(?!\d)",
+    "card": r"(?<![0-9])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|3[47]\d\d(?: \d{6} |-\d{6}-)\d{5})(?!\d)",
 }
-_FIRST = {"email": "@", "secret": r"^AKIA[A-Z0-9]{16}$|^[A-Za-z_]+\s*[=:]", "iban": "^[A-Z]{2}[0-9]", "phone": r"^[+(]|^\d{3}-\d{3}-", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "date": r"^\d{4}([-/])\d{2}\1\d{2}$|^\d{2}\.\d{2}\.\d{4}$", "person": r"^\d{6}[-+]\d{4}$|^\d{3}-\d{2}-\d{4}$", "card": r"^\d"}
+_FIRST = {"email": "@", "secret": r"^AKIA[A-Z0-9]{16}$|^[A-Za-z_]+\s*[=:]", "iban": "^[A-Z]{2}[0-9]", "phone": r"^[+(]|^\d{3}-\d{3}-|^\d{3}\.\d{3}\.\d{4}$", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "date": r"^\d{4}([-/])\d{2}\1\d{2}$|^\d{2}\.\d{2}\.\d{4}$", "person": r"^\d{6}[-+]\d{4}$|^\d{3}-\d{2}-\d{4}$", "card": r"^\d"}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -247,6 +247,9 @@ def pseudonymise_documents(docs: DataFrame, key: str, kinds: tuple[str, ...] = t
 
     Kinds: e-mail and IPv4 addresses, phone numbers, payment cards (Luhn), IBANs (mod 97), personal numbers (date and
     Luhn; 3-2-4 digits), dates of 1904 to 2099, and secrets (access key ids; values after ``password=`` and the like).
+    Dates are read as 1987-03-14, 1987/03/14 and 14.03.1987 only: where day and month could change places (03/04/1987),
+    or a month is spelt out, a date is left alone.  Cards are read in one run of digits, in groups of 4-4-4-4 and 4-6-5;
+    phone numbers with a country code, as (555) 123-4567, 555-123-4567 and 555.123.4567.
     What fails its check, such as a 16-digit number without a valid check digit, is left alone.
 
     Null texts stay null, empty ones empty; both count 0.  Rows are independent: repeated rows give repeated results, an

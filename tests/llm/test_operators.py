@@ -295,6 +295,16 @@ def test_pseudonyms_of_values_with_neighbours(spark):
     assert re.fullmatch(r"token: [a-z]{4}\.[a-z]{4}\.[a-z]{4}\. Then", got[6][0]) and not set(re.findall("[a-z]{4}", got[6][0])) & {"abcd", "efgh", "ijkl"}
 
 
+def test_pseudonyms_of_other_groupings(spark):
+    from kpimill.llm.pii import pseudonymise_documents
+
+    rows = ["amex 3782 822463 10005 and 3782-822463-10005 not 3782 822463 10006", "call 555.123.4567. Not 555.123.4567.8"]
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in pseudonymise_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").collect()}
+    assert [got[k][1] for k in range(2)] == [2, 1] and all(len(got[k][0]) == len(t) for k, t in enumerate(rows))
+    assert re.fullmatch(r"amex \d{4} \d{6} \d{5} and \d{4}-\d{6}-\d{5} not 3782 822463 10006", got[0][0]) and "10005" not in got[0][0]
+    assert re.fullmatch(r"call \d{3}\.\d{3}\.\d{4}\. Not 555\.123\.4567\.8", got[1][0]) and "call 555.123.4567" not in got[1][0]
+
+
 def test_feistel_permutes(spark):
     from kpimill.llm.pii import feistel_number, feistel_text
 
