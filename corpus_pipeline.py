@@ -25,14 +25,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id.
 
-    Rows that repeat an id are one document, of which the row with the smallest text hash stays.
+    A document is an id and a text: rows that share an id go only where their texts are equal or near.  Of equal documents
+    one row stays.
     """
     from pyspark.sql import Window
 
     from kpimill.llm.near_dedup import near_duplicates
 
-    kept = near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang"))))
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed, width=5, percent=80, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    least = found.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("m"))
+    one = keyed.join(least.select(F.col("m._key").alias("_key")), "_key", "left_semi")
+    one = one.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text", "source", "lang"))))
     return one.where("_at = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

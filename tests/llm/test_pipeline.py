@@ -31,6 +31,14 @@ def test_stages(spark):
         assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
 
 
+def test_rows_that_share_an_id_go_only_with_near_texts(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("c")), (2, text("a") + " z"), (3, text("b")), (3, text("d")), (4, text("d")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect())
+    assert got == collections.Counter([(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d")), (None, text("a"))])
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
