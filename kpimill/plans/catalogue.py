@@ -243,6 +243,14 @@ def chunk_safe_break(spark, d):
     return I.table(spark, d, "customer").select("c_custkey", F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
+@query
+def chunk_safe_break_documents(spark, d):
+    """Windows of the whole documents, their sentences ended as headings since the texts have no break mark of their own."""
+    tokens = F.regexp_extract_all(F.replace(F.col("text"), F.lit(". "), F.lit(":\n")), F.lit(r"(?U)\S+\s*"), F.lit(0))
+    parts = F.transform(C.windows(tokens, 100, 10), lambda w: F.array_join(w, ""))
+    return I.table(spark, d, "documents").select("doc_id", F.posexplode(C.safe_breaks(parts)).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.length("c").cast("long").alias("n_chars"), F.md5(F.col("c").cast("binary")).alias("digest"))
+
+
 @query
 def token_count(spark, d):
     return I.table(spark, d, "documents").select("doc_id", Tokenizer().count(F.col("text")).alias("n_tokens"))

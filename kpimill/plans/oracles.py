@@ -97,6 +97,11 @@ _SINGLE = _with(
  UNION ALL SELECT doc_id, fund, year, metric, value, source, certainty, comment FROM consolidated""",
 )
 
+#: break marks in order of preference, and the chunk t cut at its head and tail
+_MARKS = ("concat(chr(10), chr(10))", "concat(chr(10), 'Sida ')", "concat(chr(10), 'Not ')", "concat(':', chr(10))", "concat(chr(10), chr(10), '[A-Z]')", r"'\. [A-ZÅÄÖ]'")
+_HEAD = "CASE " + " ".join(f"WHEN strpos(t, {m}) BETWEEN 1 AND 201 THEN substr(t, strpos(t, {m}) + length({m}))" for m in _MARKS) + " ELSE t END"
+_TAIL = "CASE " + " ".join(f"WHEN strpos(reverse(t), reverse({m})) > 0 AND strpos(reverse(t), reverse({m})) - 1 + length({m}) <= 200 THEN substr(t, 1, length(t) - strpos(reverse(t), reverse({m})) + 1)" for m in _MARKS) + " ELSE t END"
+
 SQL: dict[str, str] = {
     "merge_first_nonnull": _with(_F1, _MERGED, then="SELECT * FROM merged"),
     "merge_first_by_row": _with(_F1, then="SELECT fund, year, metric, value, source, certainty, comment FROM (SELECT *, row_number() OVER (PARTITION BY fund, year, metric ORDER BY value IS NULL, seq) AS k FROM f) WHERE k = 1"),
@@ -142,6 +147,13 @@ SQL: dict[str, str] = {
     "chunk_overlap": f"SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(len(c) AS INT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, k, w[CAST(k * 90 + 1 AS BIGINT) : CAST(k * 90 + 100 AS BIGINT)] AS c FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE 1 + CAST(ceil((len(w) - 100) / 90.0) AS BIGINT) END)) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))",
     "chunk_greedy": f"SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(len(c) AS INT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, k, w[CAST(k * 120 + 1 AS BIGINT) : CAST(k * 120 + 120 AS BIGINT)] AS c FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 120.0) AS BIGINT))) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))",
     "chunk_safe_break": "WITH p AS (SELECT c_custkey, c_name AS a, c_mktsegment AS b FROM customer) SELECT c_custkey, 0 AS chunk_no, concat('head:', chr(10), a, ':', chr(10)) AS chunk FROM p UNION ALL SELECT c_custkey, 1, concat('1 head:', chr(10), a, ':', chr(10)) FROM p UNION ALL SELECT c_custkey, 2, concat(a, ':', chr(10), 'row ', b) FROM p",
+    "chunk_safe_break_documents": _with(
+        r"w AS (SELECT doc_id, regexp_extract_all(replace(text, '. ', concat(':', chr(10))), '\S+\s*') AS w FROM documents)",
+        "n AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE 1 + CAST(ceil((len(w) - 100) / 90.0) AS BIGINT) END AS n FROM w)",
+        "c AS (SELECT doc_id, n, k, array_to_string(w[CAST(k * 90 + 1 AS BIGINT) : CAST(k * 90 + 100 AS BIGINT)], '') AS t FROM (SELECT *, unnest(range(0, n)) AS k FROM n))",
+        f"h AS (SELECT doc_id, n, k, CASE WHEN k > 0 THEN {_HEAD} ELSE t END AS t FROM c)", f"s AS (SELECT doc_id, k, CASE WHEN k < n - 1 THEN {_TAIL} ELSE t END AS t FROM h)",
+        then="SELECT doc_id, CAST(k AS INT) AS chunk_no, length(t) AS n_chars, md5(t) AS digest FROM s",
+    ),
     "token_count": f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_tokens FROM documents",
     "page_label": "SELECT o_orderkey, CASE WHEN o_orderkey % 60 + 1 - 5 > 0 THEN CAST(o_orderkey % 60 - 4 AS VARCHAR) ELSE " + _ROMAN.format(n="(o_orderkey % 60 + 1)") + " END AS label, CASE WHEN o_orderkey % 3999 > 0 THEN " + _ROMAN.format(n="(o_orderkey % 3999)") + " ELSE '' END AS roman FROM orders",
     "page_assembly": _with(_F3, "l AS (SELECT doc_id, page_no, CASE WHEN page_no - doc_id % 3 > 0 THEN CAST(page_no - doc_id % 3 AS VARCHAR) ELSE ['I', 'II', 'III'][CAST(page_no AS INT)] END AS label, text FROM y)", then="SELECT doc_id, string_agg(concat('[Sida ', label, ']', chr(10), text), concat(chr(10), chr(10)) ORDER BY page_no) AS text FROM l GROUP BY doc_id"),

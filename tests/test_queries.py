@@ -51,3 +51,30 @@ def test_pivot_of_all_funds_loses_none(spark):
     assert len(funds) > 5 and {f"v_{f.lower().replace(' ', '_')}" for f in funds} <= set(got.columns)
     values = [c for c in got.columns if c.startswith("v_")]
     assert sum(v is not None for r in got.select(values).collect() for v in r) == cells.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_safe_breaks_of_documents_against_plain_python(spark):
+    import hashlib
+    import re
+
+    from kpimill.functions.chunks import BREAKS, REACH
+
+    def head(c):
+        return next((c[c.find(m) + len(m) :] for m in BREAKS if 0 <= c.find(m) <= REACH), c)
+
+    def tail(c):
+        return next((c[: c.rfind(m) + len(m)] for m in BREAKS if c.rfind(m) >= 0 and len(c) - c.rfind(m) <= REACH), c)
+
+    want, cut, whole = [], 0, 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        w = re.findall(r"\S+\s*", r.text.replace(". ", ":\n"))
+        n = 0 if not w else 1 if len(w) <= 100 else 1 - (100 - len(w)) // 90
+        for k in range(n):
+            t = c = "".join(w[90 * k : 90 * k + 100])
+            t = head(t) if k else t
+            t = tail(t) if k < n - 1 else t
+            cut, whole = cut + (t != c), whole + (t == c and n > 1)
+            want.append((r.doc_id, k, len(t), hashlib.md5(t.encode()).hexdigest()))
+    got = [tuple(r) for r in QUERIES["chunk_safe_break_documents"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and cut > 0 and whole > 0
