@@ -16,12 +16,18 @@ _ROOTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A folder of this session below ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves if the master is local, as in tests; on a cluster its files would lie
+    on the executors' own disks, so there it is an error.
+    """
     sc = spark.sparkContext
     root = _ROOTS.get(sc)
     if root is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="kpimill-")
             sc.setCheckpointDir(base)
         root = f"{base.rstrip('/')}/kpimill-{uuid.uuid4().hex}"
@@ -61,6 +67,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df()
 
 
+HOT = 1000  #: rows of a key beyond which it counts as hot
+HOT_KEYS = 10_000  #: hot keys, the commonest, whose rows stay where they are; no other key can have more than a 10,000th of the rows
+
+
+def hot_keys(df: DataFrame, key: str, count: str | None = None) -> DataFrame | None:
+    """The commonest ``HOT_KEYS`` keys of those with more than ``HOT`` rows, or None.  ``count``: column of known counts."""
+    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg((F.sum(count) if count else F.count("*")).alias("__rows"))
+    hot = Staged(sizes.where(F.col("__rows") > HOT).orderBy(F.desc("__rows"), key).limit(HOT_KEYS).select(key), "hot").df()
+    return None if hot.isEmpty() else hot
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row for each key; rows of ``hot`` keys are not shuffled.
+
+    The rows of ``right`` for the hot keys, ``HOT_KEYS`` at most, are broadcast; all others meet by the key, and those
+    without a key, which match nothing, don't move either.  ``hot`` defaults to the hot keys of ``left``, which then
+    should be a table and no long plan.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    some = left.where(F.col(key).isNotNull())
+    if hot is None:
+        out = some.join(right, key, how)
+    else:
+        few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+        out = some.join(F.broadcast(hot), key, "left_anti").join(right, key, how).unionByName(some.join(F.broadcast(hot), key, "left_semi").join(few, key, how))
+    if how == "left":
+        out = out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages now instead of at the next full collection."""
     import gc
@@ -133,7 +169,8 @@ def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
     while at < len(data):
         end = min(len(data), at + _PIECE)
         while end < len(data) and not _SPACE[data[end]]:  # a piece ends at white space
-            end += 1
+            near = np.flatnonzero(_SPACE[data[end : end + _PIECE]])
+            end = end + int(near[0]) if len(near) else min(len(data), end + _PIECE)
         d = data[at:end]
         space = _SPACE[d]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))

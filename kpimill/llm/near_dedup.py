@@ -5,9 +5,10 @@ buckets give candidates; comparing runs batch by batch over the signatures and s
 probability of reaching the threshold falls under the chosen miss probability; what survives is verified on the full
 shingle sets.
 
-A bucket is never turned into all its pairs.  Its smallest member is compared with each other member first, which links
-almost every copy of a group in as many comparisons as the group has members.  Only buckets that still hold several
-components are looked at again, in blocks of bounded size, and only across components.
+A bucket is never turned into all its pairs.  Its members form a tree first, in which no node has more than a few hundred
+neighbours, and each is compared with its parent, which links almost every copy of a group in as many comparisons as the
+group has members.  Only buckets that still hold several components are looked at again, in blocks of bounded size: what
+is not of the bucket's largest component is compared with everything, and the largest component not with itself.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpimill.llm.common import Staged, binary_rows, batched, as_bytes, record_batch, shingle_set
+from kpimill.llm.common import HOT, Staged, as_bytes, batched, binary_rows, hot_keys, join_hot, record_batch, shingle_set
 from kpimill.llm.components import connected_components
 
 ROWS, BANDS = 6, 40  #: a pair at 0.8 misses every band with a probability of 5e-6
 SIGNATURE = 480  #: compared minima, one byte each; the first ROWS * BANDS also make the bands
 BATCH = 48  #: minima compared between two looks at the posterior
+GROUP = 128  #: members of a bucket that share a parent, and such groups whose parents share one, on average
 BLOCK = 256  #: members of a bucket that one task compares with as many others
 _U = np.uint64
 _SEEDS = np.random.default_rng(20240229)
@@ -222,8 +224,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     usable = "digest is not null and doc_id is not null"
     classes = Staged(table.df().where(usable).withColumn("at", F.row_number().over(first)).where("at = 1").select(F.col("doc_id").alias("node"), "digest", "bands", "sig"), "classes")
     keys = classes.df().select("node", "bands").mapInArrow(_bucket_rows, "key long, node long")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    members = Staged(keys.join(hubs, "key"), "members")
+    counts = Staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets").df()
+    large = hot_keys(counts.where(F.col("n") > HOT), "key", "n")
+    members = Staged(keys.join(counts, "key") if large is None else join_hot(keys, counts, "key", hot=large), "members")
     # one text for each node: classes that share an id are told apart by nothing but their text, so all are compared
     nodes = classes.df().select("node", "digest", "sig", "bands").join(members.df().select("node").distinct(), "node", "left_semi")
     texts = Staged(docs.join(members.df().select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "texts")
@@ -234,15 +237,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
         return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long")
 
     sigs = {c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"}
-    star = members.df().where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sigs["b"], "b").join(sigs["a"], "a").select("a", "b", "sa", "sb")
-    edges = Staged(linked(star.mapInArrow(_prune(threshold, miss), "a long, b long")), "edges")
+    # a bucket of n members is dealt by hash to n / GROUP groups; the smallest member of a group is the parent of the others,
+    # and that of group (g - 1) / GROUP the parent of that of group g
+    dealt = members.df().withColumn("g", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP)))
+    groups = Staged(dealt.groupBy("key", "g").agg(F.min("node").alias("a"), F.collect_list("node").alias("nodes")), "groups")
+    within = groups.df().select("a", F.explode(F.array_remove("nodes", F.col("a"))).alias("b"))
+    above = groups.df().where("g > 0").select("key", F.floor((F.col("g") - 1) / GROUP).alias("g"), F.col("a").alias("b")).join(groups.df().select("key", "g", "a"), ["key", "g"])
+    tree = within.unionByName(above.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tree = tree.join(sigs["b"], "b").join(sigs["a"], "a").select("a", "b", "sa", "sb")
+    edges = Staged(linked(tree.mapInArrow(_prune(threshold, miss), "a long, b long")), "edges")
     comp = Staged(connected_components(edges.df()), "components")
 
-    now = members.df().join(comp.df(), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    task = now.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    task = task.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    now = Staged(members.df().join(comp.df(), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "now")
+    sizes = now.df().groupBy("key", "component").agg(F.count("*").alias("k"))
+    open_keys = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    # the largest component's blocks come after those of the rest
+    open_keys = open_keys.where("components > 1").select("key", "largest", "n", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("most") / BLOCK).cast("int").alias("more"))
+    open_keys = Staged(open_keys, "open").df()
+    large = hot_keys(open_keys.where(F.col("n") > HOT), "key", "n")
+    task = now.df().join(open_keys, "key") if large is None else join_hot(now.df(), open_keys, "key", hot=large)
+    main, h = F.col("component") == F.col("largest"), F.xxhash64("node")
+    task = task.withColumn("block", F.when(main, F.col("rest") + F.pmod(h, F.col("more"))).otherwise(F.pmod(h, F.col("rest"))).cast("int"))
+    task = task.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(main, 0).otherwise(F.col("more")))))
     task = task.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
     task = task.join(nodes.select("node", "bands", "sig"), "node")
     task = task.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "node", "component", "bands", "sig")
@@ -251,8 +267,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     comp = Staged(connected_components(edges.df().union(late.df())), "components")
 
     by_class = classes.df().select("digest", "node").join(comp.df(), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = table.df().select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    out = join_hot(table.df().select("doc_id", "n_shingles", "digest"), by_class, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    for x in (members, texts, more, edges, late):
+    for x in (members, texts, groups, now, more, edges, late):
         x.drop()
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
