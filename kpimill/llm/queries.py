@@ -71,8 +71,7 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kpimill.llm.language_id import fold
 
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").where((fold("doc_id", 4) != 2) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    out = score_quality(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    out = score_quality(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
     predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int")
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", predicted.alias("predicted"))
 
