@@ -2,8 +2,9 @@
 
 A text's vector holds its hashed byte n-grams, with damped counts weighted by inverse document frequency and scaled to
 length one.  Every language has several centroids, found by spherical k-means over its training texts; a text takes the
-language of the centroid with the largest cosine, and is rejected when even that is further away than nearly all
-training texts of like length are from centroids that were learned without them.
+language of the centroid with the largest cosine, and is rejected when even that is too far away: a limit lies
+between how far training texts of like length are from centroids of their language that were learned without them, and
+how far they are from those of the other languages, which stand in for languages never seen.
 """
 
 from __future__ import annotations
@@ -25,12 +26,17 @@ TRAIN_ROWS = 2000  #: most training texts for all languages together; whole text
 FOLDS = 4  #: parts of the training texts, each held out once when the limits of rejection are set
 PIECES = (16, 32, 64, 128, 256)  #: bytes of the heads of training texts that stand in for short texts
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers such as ½
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LOWER[[*range(48), *range(48, 65), *range(91, 97), *range(123, 128)]] = 32  # what isn't a letter parts words
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text matches ``\\p{L}``."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def gram_counts(texts: list[bytes | None]) -> np.ndarray:
     """A row of hashed counts of 2- and 3-byte n-grams for each text."""
     raw = b" ".join([b""] + [t or b"" for t in texts] + [b""])
@@ -79,16 +85,16 @@ def _octave(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(size, 1))).astype(int)
 
 
-def _least(size: np.ndarray, cos: np.ndarray, reject: float) -> np.ndarray:
-    """The ``reject`` quantile of the cosines of each octave of sizes, longer texts taking that of the last one.
+def _quantile(size: np.ndarray, cos: np.ndarray, q: float) -> np.ndarray:
+    """The ``q`` quantile of the cosines of each octave of sizes.
 
     An octave with too few texts to show that quantile takes in those of nearest size.
     """
-    at, need = np.log2(np.maximum(size, 1)), min(len(size), math.ceil(1 / reject))
+    at, need = np.log2(np.maximum(size, 1)), min(len(size), math.ceil(1 / min(q, 1 - q)))
     out = []
     for k in range(int(_octave(size).max()) + 1):
         off = np.maximum(np.maximum(k - at, at - k - 1), 0)
-        out.append(np.quantile(cos[off <= np.sort(off)[need - 1]], reject))
+        out.append(np.quantile(cos[off <= np.sort(off)[need - 1]], q))
     return np.array(out)
 
 
@@ -104,13 +110,14 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin: float = 0.8) -> Model:
+def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.005, strange: float = 0.99) -> Model:
     """From (doc_id, text, lang); rows without a letter or a language teach nothing.
 
-    At most ``rows`` whole texts in all, equally many of each language, by the smallest hashes of id and text.  A text is
-    rejected below ``margin`` times the ``reject`` quantile of the cosines that training texts of its length, and heads
-    of that length, have to their own language's centroids when those are learned from the other folds; the margin allows
-    for so low a quantile coming from a few hundred texts.
+    At most ``rows`` whole texts in all, equally many of each language, by the smallest hashes of id and text.  Two
+    cosines tell where to reject, for each octave of sizes: the ``reject`` quantile of those that training texts, and
+    heads of them, have to their own language's centroids when these are learned from the other folds; and the
+    ``strange`` quantile of those that they have to the other languages' centroids.  A text is rejected below two
+    thirds of the way from the second up to the first, and below the first alone where they cross.
     """
     train = train.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("text").rlike(r"\p{L}"))
     languages = train.select("lang").distinct().count()
@@ -143,19 +150,25 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.002, margin:
         for f in range(FOLDS):
             out, rest = own[part == f], own[part != f]
             if len(out) and len(rest):
-                held.append((out, _kmeans(v[rest], CENTROIDS)))
+                held.append((x, out, _kmeans(v[rest], CENTROIDS)))
     m.centroids = np.concatenate(cents).astype(np.float32)
-    sizes, cos = [], []
-    for out, c in held:
-        sizes.append(size[out])
-        cos.append(np.max(v[out] @ c.T, axis=1))
+    sizes, own_cos, other_cos = [], [], []
+
+    def measure(vectors: np.ndarray, size: np.ndarray, own: np.ndarray, other: np.ndarray) -> None:
+        sizes.append(size)
+        own_cos.append(np.max(vectors @ own.T, axis=1))
+        other_cos.append(np.max(vectors @ other.T, axis=1) if len(other) else np.zeros(len(vectors)))
+
+    for x, out, c in held:
+        other = m.centroids[[k for k, y in enumerate(m.languages) if y != x]]
+        measure(v[out], size[out], c, other)
         for n in PIECES:
-            heads = [t for t in (bytes(got[i].head)[:n] for i in out if size[i] > n) if _LETTER.search(t.decode("utf-8", "ignore"))]
+            heads = [t for t in (bytes(got[i].head)[:n] for i in out if size[i] > n) if has_letter(t.decode("utf-8", "ignore"))]
             if heads:
-                sizes.append(np.full(len(heads), n))
-                cos.append(np.max(m.vectors(gram_counts(heads)) @ c.T, axis=1))
+                measure(m.vectors(gram_counts(heads)), np.full(len(heads), n), c, other)
     if held:
-        m.least = margin * _least(np.concatenate(sizes), np.concatenate(cos), reject)
+        known, foreign = (_quantile(np.concatenate(sizes), np.concatenate(cos), q) for cos, q in ((own_cos, reject), (other_cos, strange)))
+        m.least = np.where(foreign < known, (foreign + 2 * known) / 3, known)
     return m
 
 
@@ -170,7 +183,7 @@ def _predict(m: Model):
                 least = m.least[np.minimum(_octave(np.array([len(t or b"") for t in texts])), len(m.least) - 1)]
                 pred, score, rejected = [], [], []
                 for row, low, t in zip(cos, least, texts):
-                    if t is None or not len(row) or not _LETTER.search(t.decode("utf-8", "replace")):
+                    if t is None or not len(row) or not has_letter(t.decode("utf-8", "replace")):
                         got = (UNKNOWN, 0.0, True)
                     else:
                         k = int(np.argmax(row))

@@ -354,10 +354,58 @@ def test_classifier_on_held_out_rows(spark):
 def test_classifier_edges(spark, edge):
     from kpimill.llm.compression_classifier import score_quality
 
-    train = edge.where("doc_id is not null").withColumn("quality", (F.col("doc_id") % 2).cast("int"))
-    for t in (train, train.limit(0), train.where("quality = 1")):
+    labels = edge.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit("x").alias("h"))
+    odd = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 7), (None, 1), (4, 0), (99, 1), (5, 1), (7, 0)], "doc_id long, quality int")
+    for t in (labels, labels.limit(0), labels.where("quality = 1"), odd):
         got = score_quality(clashing(edge), t).collect()
         assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)
+        assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
+    assert score_quality(empty(spark), labels).count() == score_quality(empty(spark), labels.limit(0)).count() == 0
+
+
+def test_dictionaries_hold_some_of_every_sampled_text():
+    from kpimill.llm.compression_classifier import STRETCH, dictionary, stretches
+
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 40, 700, *rng.integers(1000, 9000, 300))]
+    got = dictionary(texts, 300_000)
+    assert 290_000 < len(got) <= 300_000
+    for t in filter(None, texts):
+        assert any(t[k : k + 16] in got for k in range(0, max(1, len(t) - 16)))
+        parts = stretches(t, 990)
+        assert sum(map(len, parts)) <= 990 and (t in got if len(t) < 900 else t.startswith(parts[0]) and t.endswith(parts[-1]) and len(parts) == 990 // STRETCH and parts[1] in got)
+
+
+def test_classifier_against_plain_code(spark):
+    """The score is the logistic function of the difference that zstandard itself gives."""
+    import math
+
+    import zstandard
+
+    from kpimill.llm.compression_classifier import BLOCK, LEVEL, fit, score_quality
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    long = docs.limit(1).select(F.lit(10_000).cast("long").alias("doc_id"), F.repeat(F.col("text"), 400).alias("text"))
+    m = fit(docs, labels)
+    both = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x in (m.good, m.bad)]
+    rows = docs.select("doc_id", "text").union(long)
+    texts = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    got = {r.doc_id: r.score for r in score_quality(rows, labels, model=m).collect()}
+    assert got.keys() == texts.keys() and m.weights[1] > 0 and len(set(got.values())) > 50
+    for i, t in texts.items():
+        good, bad = (sum(len(c.compress(t[k : k + BLOCK])) for k in range(0, len(t), BLOCK)) for c in both)
+        assert abs(got[i] - 1 / (1 + math.exp(-m.weights[0] - m.weights[1] * (bad - good) / max(1, len(t))))) < 1e-9
+
+
+def test_classifier_sample_is_bounded_and_moves_no_other_text(spark):
+    from kpimill.llm.compression_classifier import labelled_sample
+
+    docs = spark.range(400).select((F.col("id") % 200).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    got = labelled_sample(docs, labels, 20)
+    assert collections.Counter(q for q, _ in got).keys() <= {0, 1} and 0 < len(got) <= 40 and len({t for _, t in got}) == len(got)
+    assert got == labelled_sample(docs.repartition(5), labels.repartition(3), 20)
 
 
 # --- language ---
@@ -378,7 +426,7 @@ def test_language_edges(edge, real):
     assert len(got) == len(EDGE)
     for r in got:
         text = [t for i, t, *_ in EDGE if i == r.doc_id][0]
-        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", text or "")) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, text or ""))) and 0 <= r.score <= 1
     assert {r.lang_pred for r in identify_languages(edge, real.limit(0)).collect()} == {"und"}
     kept = keep_identified(real, fit(real))
     assert kept.columns == real.columns and kept.count() >= 0.98 * real.count()
@@ -405,6 +453,57 @@ def test_long_foreign_and_random_texts_are_rejected(spark):
     assert held.rejected.mean() <= 0.01
 
 
+def test_numbers_are_no_letters(spark, real):
+    from kpimill.llm.language_id import identify_languages
+
+    texts = ["½ ² Ⅷ", "x", "_ 12", "①", "ª", "漢"]
+    got = {r.doc_id: r.lang_pred for r in identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), real).collect()}
+    assert [got[k] == "und" for k in range(6)] == [True, False, True, True, False, False]
+
+
+@pytest.mark.parametrize("unseen", ["de", "en", "es", "fr"])
+def test_an_unseen_language_is_rejected(spark, unseen):
+    from kpimill.llm.language_id import fit, fold, identify_languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit(docs.where((fold("doc_id", 5) != 0) & (F.col("lang") != unseen)))
+    got = identify_languages(docs, docs, model=model).join(docs.select("doc_id", "lang", (fold("doc_id", 5) == 0).alias("held")), "doc_id").where("lang_pred <> 'und'").toPandas()
+    assert got[got.lang == unseen].rejected.mean() >= 0.9 and got[(got.lang != unseen) & got.held].rejected.mean() <= 0.02
+
+
+def test_languages_against_plain_tf_idf(spark, real):
+    """Vectors and cosines by dictionaries of n-grams instead of binned arrays."""
+    from kpimill.llm.language_id import BINS, fit, gram_counts, identify_languages
+
+    m = fit(real)
+    texts = {r.doc_id: r.text for r in real.select("doc_id", "text").limit(40).collect()} | {900: "Größe und ÉTÉ  1x", 901: "a" * 3, 902: "lorem ipsum " * 100_000}
+    got = {r.doc_id: r for r in identify_languages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), real, model=m).collect()}
+    mask = (1 << 32) - 1
+    for i, t in texts.items():
+        x = [b + 32 if 65 <= b < 91 else b if b >= 128 or 97 <= b < 123 else 32 for b in b" " + t.encode() + b" "]
+        for k in range(1, len(x)):
+            if x[k - 1] == 0xC3 and 0x80 <= x[k] <= 0x9E:
+                x[k] += 32
+        grams = collections.Counter()
+        for k in range(len(x) - 1):
+            a, b, c = x[k], x[k + 1], x[k + 2] if k + 2 < len(x) else 32
+            if not (a == 32 and b == 32):
+                grams[(a * 0x9E3779B1 + b * 0x85EBCA6B) & mask] += 1
+            if not (a == 32 and b == 32) and not (b == 32 and c == 32):
+                grams[(a * 0xC2B2AE35 + b * 0x27D4EB2F + c * 0x165667B1 + 77) & mask] += 1
+        counts = np.zeros(BINS)
+        for g, n in grams.items():
+            counts[(((g ^ (g >> 15)) * 0x2C1B3C6D) & mask) >> 20] += n
+        counts[0] = 0
+        if i in (900, 901):
+            assert np.abs(counts - gram_counts([t.encode()])[0]).sum() <= 2  # the ends of a text have blanks of the array's own
+        v = np.sqrt(counts) * m.idf
+        cos = m.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        if got[i].lang_pred != "und":
+            assert got[i].lang_pred == m.languages[int(np.argmax(cos))] or np.sort(cos)[-1] - np.sort(cos)[-2] < 0.02
+            assert abs(got[i].score - cos.max()) < 0.02
+
+
 # --- neighbours ---
 
 
