@@ -11,9 +11,11 @@ a suffix whose group has one member retires from all later passes.
    repeats of the first; what differs in this digit goes on.
 3. The windows of the runs left over are ordered by all their ``depth`` bytes.
 
-Digits are compared by hashes, of 96 bits together in pass 2 and in pass 3.  Records travel packed, dealt by hash, after each
-task has kept the first of those that are equal in it, so that a passage that a third of all texts share counts once a
-task.
+Digits are compared by hashes, of 96 bits together in pass 2 and in pass 3; equal groups are not compared byte by byte.
+Records travel packed, dealt by hash, after each task has kept the first of those that are equal in it, so that a passage
+that a third of all texts share counts once a task.  A digit with which several runs of a task begin is dealt with the
+next digit taken in, so that a phrase common to very many different texts is spread over all buckets; the digit's own
+bucket only gets a mark from each such task, that its runs go on to pass 3.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpimill.llm.common import Staged, as_bytes, batched, free_shuffles, prefix_hash, record_batch, span_hash
+from kpimill.llm.common import Staged, as_bytes, batched, free_shuffles, mix, prefix_hash, record_batch, span_hash
 
 DEPTH, GRAM = 100, 60
 _U = np.uint64
@@ -90,9 +92,8 @@ def _joined(group):
     return data, of, ends, start, np.array([i for i, _, _ in group], np.int64), np.array([a for _, a, _ in group], np.int64)
 
 
-def _pack(buckets: int, first, second, doc, lo, count) -> Iterator[tuple[int, bytes]]:
-    """Sorted by (first, second, doc, lo), one compressed payload for each bucket of ``first``."""
-    bucket = (first % _U(buckets)).astype(np.int64)
+def _pack(bucket, first, second, doc, lo, count) -> Iterator[tuple[int, bytes]]:
+    """Sorted by (first, second, doc, lo), one compressed payload for each bucket."""
     order = np.lexsort((lo, doc, second, first, bucket))
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     z = zstandard.ZstdCompressor(level=1)
@@ -152,10 +153,14 @@ def _runs(doc, lo, hi):
 
 
 class _Combiner:
-    """Collects records of a task; a flush keeps the first of equal ones and says which stretches repeat it."""
+    """Collects records of a task; a flush keeps the first of equal ones and says which stretches repeat it.
 
-    def __init__(self, buckets: int, depth: int):
-        self.buckets, self.depth, self.parts, self.n = buckets, depth, [], 0
+    With ``spread``, what begins with a digit that several of the rest begin with is dealt by both digits, its count
+    negative, and the digit's bucket gets a record without a count.
+    """
+
+    def __init__(self, buckets: int, depth: int, spread: bool = False):
+        self.buckets, self.depth, self.spread, self.parts, self.n = buckets, depth, spread, [], 0
 
     def add(self, *cols):
         self.parts.append(cols)
@@ -175,13 +180,24 @@ class _Combiner:
             s = slice(at, at + (1 << 16))
             yield record_batch(_OUT, bucket=d[s] % self.buckets, payload=[None] * len(d[s]), doc_id=d[s], lo=a[s], hi=b[s])
         o = o[head]
-        for bucket, payload in _pack(self.buckets, first[o], second[o], doc[o], lo[o], count[o]):
+        first, second, doc, lo, count = first[o], second[o], doc[o], lo[o], count[o]
+        bucket = first % _U(self.buckets)
+        if self.spread:
+            same = np.concatenate(([False], np.diff(first) == 0))
+            several = same | np.concatenate((same[1:], [False]))
+            bucket = np.where(several, mix(first ^ (second << _U(16))) % _U(self.buckets), bucket)
+            count = np.where(several, -count, count)
+            marks = np.unique(first[several])
+            none = np.zeros(len(marks), np.int64)
+            first, second, doc, lo, count = np.concatenate((first, marks)), np.concatenate((second, none.astype(_U))), np.concatenate((doc, none)), np.concatenate((lo, none)), np.concatenate((count, none))
+            bucket = np.concatenate((bucket, marks % _U(self.buckets)))
+        for bucket, payload in _pack(bucket.astype(np.int64), first, second, doc, lo, count):
             yield record_batch(_OUT, bucket=[bucket], payload=[payload], doc_id=[None], lo=[None], hi=[None])
 
 
 def _pass_digits(buckets: int, depth: int):
     def run(batches):
-        c = _Combiner(buckets, depth)
+        c = _Combiner(buckets, depth, True)
         for rb in batches:
             ids = rb.column(0).to_numpy()
             for at, texts in batched(rb.column(1)):
@@ -205,13 +221,16 @@ def _pass_stretches(depth: int):
 
     def run(table: pa.Table) -> pa.Table:
         (first, second, doc, lo, count), known = _unpack(table)
+        marks = np.unique(first[count == 0])
+        first, second, doc, lo, count = (x[count != 0] for x in (first, second, doc, lo, count))
+        spread, count = count < 0, np.abs(count)
         o, head, repeat = _first_of_equal(first, second, doc, lo)
         r = o[repeat]
         d, a, b = _runs(*_with(known, doc[r], lo[r], lo[r] + count[r] - 1 + depth))
         keep = o[head]
         f = first[keep]
         same = np.concatenate(([False], np.diff(f) == 0))[: len(f)]
-        several = same | np.concatenate((same[1:], [False]))
+        several = same | np.concatenate((same[1:], [False]))[: len(f)] | spread[keep] | np.isin(f, marks)
         k = keep[several]
         return pa.table(
             {
