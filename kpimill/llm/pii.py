@@ -3,7 +3,10 @@
 Every match is checked before it counts (check digits, octets, calendar) and is then permuted within its own format by
 a keyed Feistel network: digits stay digits, letters stay letters of their case, a card stays a card with a valid check
 digit, a date stays a date.  The permutation depends on the key and the format only, so equal values get equal pseudonyms
-in every document and different ones different pseudonyms.  Whoever has the key can undo it.
+in every document and different ones different pseudonyms.  Whoever has the key can undo it, by the same rounds backwards.
+
+The key itself never stands in a plan: the rounds use keys made from it for each kind, and these are marked so that Spark
+leaves them out of explained plans, its user interface and event logs.
 
 All of it is built-in column functions within a row: nothing is shuffled, and a text without a digit or an ``@`` is
 passed on unseen.
@@ -11,12 +14,40 @@ passed on unseen.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+ROUND_KEY = "round-key-[0-9a-f]{64}"  #: how keys of the rounds look, for Spark's redaction
+
+
+@dataclass(frozen=True)
+class Key:
+    """A secret and the direction in which it is used."""
+
+    secret: str
+    inverse: bool = False
+
+    def of(self, kind: str) -> str:
+        return "round-key-" + hmac.new(self.secret.encode(), kind.encode(), hashlib.sha256).hexdigest()
+
+    def rounds(self) -> Column:
+        return F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if self.inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
+
+
+def hide_round_keys(spark: SparkSession) -> None:
+    """Adds :data:`ROUND_KEY` to the session's ``spark.sql.redaction.string.regex``."""
+    name = "spark.sql.redaction.string.regex"
+    now = spark.conf.get(name, None)
+    if ROUND_KEY not in (now or ""):
+        spark.conf.set(name, f"(?:{now})|{ROUND_KEY}" if now else ROUND_KEY)
+
+
 #: Characters of an IBAN by country, from the SWIFT registry; other IBANs are told by their check digits alone
 IBAN_SIZES = {
     15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
@@ -63,35 +94,37 @@ def _turn(c: Column, by: Column, hexadecimal: bool) -> Column:
     return F.when(code.between(48, 57), to(48, 10)).when(code.between(97, 122), to(97, 26)).when(code.between(65, 90), to(65, 26)).otherwise(c)
 
 
-def feistel_text(s: Column, key: str, tweak: str, hexadecimal: bool = False) -> Column:
+def feistel_text(s: Column, key: Key, tweak: str, hexadecimal: bool = False) -> Column:
     """Permutes the strings of each pattern of classes: halves in turn are moved on by a keyed function of the other."""
+    sign = -1 if key.inverse else 1
 
     def one(x: Column, r: Column) -> Column:
         half = F.floor(F.length(x) / 2).cast("int")
         left, right = F.substring(x, F.lit(1), half), F.substring(x, half + 1, F.length(x))
         even = r % 2 == 0
-        seed = F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), r.cast("string"), F.lit("|"), F.length(x).cast("string"), F.lit("|"), F.when(even, right).otherwise(left)), 256)
+        seed = F.sha2(F.concat(F.lit(f"{key.of(tweak)}|"), r.cast("string"), F.lit("|"), F.length(x).cast("string"), F.lit("|"), F.when(even, right).otherwise(left)), 256)
 
         def moved(d: Column) -> Column:
-            turn = lambda part: _each(part, lambda c, i: _turn(c, F.xxhash64(d, i), hexadecimal))
+            turn = lambda part: _each(part, lambda c, i: _turn(c, F.pmod(F.xxhash64(d, i), F.lit(1040)) * sign, hexadecimal))
             return F.when(even, F.concat(turn(left), right)).otherwise(F.concat(left, turn(right)))
 
         return _let(seed, moved)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), s, one)
+    return F.aggregate(key.rounds(), s, one)
 
 
-def feistel_number(x: Column, a: int, b: int, key: str, tweak: str) -> Column:
+def feistel_number(x: Column, a: int, b: int, key: Key, tweak: str) -> Column:
     """Permutes 0 .. a * b - 1."""
+    sign = -1 if key.inverse else 1
 
     def one(s: Column, r: Column) -> Column:
         even = r % 2 == 0
         q, m = s["q"], s["m"]
-        k = F.xxhash64(F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), r.cast("string"), F.lit("|"), F.when(even, m).otherwise(q).cast("string")), 256))
-        return _let(k, lambda k: F.struct(F.when(even, F.pmod(q + F.pmod(k, F.lit(a)), F.lit(a))).otherwise(q).alias("q"), F.when(even, m).otherwise(F.pmod(m + F.pmod(k, F.lit(b)), F.lit(b))).alias("m")))
+        k = F.xxhash64(F.sha2(F.concat(F.lit(f"{key.of(tweak)}|"), r.cast("string"), F.lit("|"), F.when(even, m).otherwise(q).cast("string")), 256))
+        return _let(k, lambda k: F.struct(F.when(even, F.pmod(q + F.pmod(k, F.lit(a)) * sign, F.lit(a))).otherwise(q).alias("q"), F.when(even, m).otherwise(F.pmod(m + F.pmod(k, F.lit(b)) * sign, F.lit(b))).alias("m")))
 
     start = F.struct(F.floor(x / b).cast("bigint").alias("q"), F.pmod(x, F.lit(b)).cast("bigint").alias("m"))
-    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one), lambda s: s["q"] * b + s["m"])
+    return _let(F.aggregate(key.rounds(), start, one), lambda s: s["q"] * b + s["m"])
 
 
 def _digits(s: Column) -> Column:
@@ -115,20 +148,20 @@ def _fill(pattern: Column, chars: Column, of: str = "[0-9]", other: str = "[^0-9
     return _each(pattern, lambda c, i: F.when(c.rlike(of), F.substring(chars, F.length(F.regexp_replace(F.substring(pattern, F.lit(1), i), other, "")), F.lit(1))).otherwise(c))
 
 
-def _card(h: Column, key: str) -> Column:
+def _card(h: Column, key: Key) -> Column:
     d = _digits(h)
     body = feistel_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
     whole = _let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
     return F.when(luhn_sum(d) % 10 == 0, _let(whole, lambda w: _fill(h, w))).otherwise(h)
 
 
-def _phone(h: Column, key: str) -> Column:
+def _phone(h: Column, key: Key) -> Column:
     code = F.regexp_extract(h, r"^\+(?:1|[2-9]\d{0,2}(?=[ \-])|\d{2})", 0)  # the country stays
     rest = F.substring(h, F.length(code) + 1, F.length(h))
     return F.concat(code, _let(feistel_text(_digits(rest), key, "phone"), lambda d: _fill(rest, d)))
 
 
-def _ip(h: Column, key: str) -> Column:
+def _ip(h: Column, key: Key) -> Column:
     o = F.transform(F.split(h, "\\."), lambda x: x.cast("bigint"))
     value = F.aggregate(o, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
     dotted = lambda v: F.concat_ws(".", *[F.pmod(F.floor(v / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
@@ -139,7 +172,7 @@ def _ip(h: Column, key: str) -> Column:
 _DAY0, _DATE_A, _DATE_B = "1904-01-01", 147, 487
 
 
-def _date(h: Column, key: str) -> Column:
+def _date(h: Column, key: Key) -> Column:
     form = F.when(h.rlike("^....-"), "yyyy-MM-dd").when(h.rlike("^..../"), "yyyy/MM/dd").otherwise("dd.MM.yyyy")
     day = F.try_to_timestamp(h, form).cast("date")
     n = F.datediff(day, F.lit(_DAY0).cast("date"))
@@ -148,7 +181,7 @@ def _date(h: Column, key: str) -> Column:
     return F.when(n.between(0, _DATE_A * _DATE_B - 1), out).otherwise(h)
 
 
-def _person(h: Column, key: str) -> Column:
+def _person(h: Column, key: Key) -> Column:
     """Ten digits with a date and a check digit, or nine digits in groups of three, two and four."""
     d = _digits(h)
     day = F.try_to_timestamp(F.concat(F.lit("20"), F.substring(d, 1, 6)), F.lit("yyyyMMdd")).cast("date")
@@ -184,7 +217,7 @@ def _iban_digits(s: Column) -> Column:
     return _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4)))
 
 
-def _iban(h: Column, key: str) -> Column:
+def _iban(h: Column, key: Key) -> Column:
     """The longest run of whole words from the start whose check digits are right; words after it stay."""
 
     def one(v: Column) -> Column:
@@ -201,7 +234,7 @@ def _iban(h: Column, key: str) -> Column:
     return _let(good, lambda g: F.when(F.size(g) > 0, _let(F.get(g, F.lit(0)), one)).otherwise(h))
 
 
-def _email(h: Column, key: str) -> Column:
+def _email(h: Column, key: Key) -> Column:
     name, host = F.substring_index(h, "@", 1), F.substring_index(h, "@", -1)
     top = F.substring_index(host, ".", -1)
     domain = F.substring(host, F.lit(1), F.length(host) - F.length(top) - 1)
@@ -209,7 +242,7 @@ def _email(h: Column, key: str) -> Column:
     return F.concat(feistel_text(name, key, "email"), F.lit("@"), feistel_text(domain, key, "host"), F.lit("."), top)
 
 
-def _secret(h: Column, key: str) -> Column:
+def _secret(h: Column, key: Key) -> Column:
     head = F.regexp_extract(h, r"^(?:AKIA|[A-Za-z_]+\s*[=:]\s*\"?)", 0)
     value = F.substring(h, F.length(head) + 1, F.length(h))
     # a long token goes block by block, as the work for one grows with the square of its length
@@ -220,8 +253,8 @@ def _secret(h: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "ip": _ip, "date": _date, "person": _person, "card": _card}
 
 
-def pseudonymise(text: Column, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
-    """struct(text, n): the text with pseudonyms, and how many values changed."""
+def pseudonymise(text: Column, key: Key, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    """struct(text, n): the text with pseudonyms (or, by the inverse key, the values again), and how many values changed."""
     pattern = "|".join(KINDS[k] for k in kinds).replace(r"([ \-])\d{4}\1\d{4}\1", r"(?<sep>[ \-])\d{4}\k<sep>\d{4}\k<sep>")
 
     def made(h: Column) -> Column:
@@ -242,7 +275,7 @@ def pseudonymise(text: Column, key: str, kinds: tuple[str, ...] = tuple(KINDS))
     return F.when(text.rlike("[0-9@]|(?i:password|passwd|secret|token|apikey|api_key)"), found).otherwise(same)
 
 
-def pseudonymise_documents(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS), text_col: str = "text", count_col: str | None = "n_pseudonyms") -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS), text_col: str = "text", count_col: str | None = "n_pseudonyms", inverse: bool = False) -> DataFrame:
     """``docs`` with the personal values of ``text_col`` replaced, and (unless None) ``count_col`` with their number.
 
     Kinds: e-mail and IPv4 addresses, phone numbers, payment cards (Luhn), IBANs (mod 97), personal numbers (date and
@@ -250,13 +283,21 @@ def pseudonymise_documents(docs: DataFrame, key: str, kinds: tuple[str, ...] = t
     Dates are read as 1987-03-14, 1987/03/14 and 14.03.1987 only: where day and month could change places (03/04/1987),
     or a month is spelt out, a date is left alone.  Cards are read in one run of digits, in groups of 4-4-4-4 and 4-6-5;
     phone numbers with a country code, as (555) 123-4567, 555-123-4567 and 555.123.4567.
+    ``inverse`` gives the values back where their pseudonyms still stand in a text.  A pseudonym is found again by its
+    format, so one that got another one does not come back: grouped 4-6-5, a card whose pseudonym doesn't begin with 34
+    or 37, and a secret of letters and digits that became hexadecimal digits only.
+
     What fails its check, such as a 16-digit number without a valid check digit, is left alone.
 
     Null texts stay null, empty ones empty; both count 0.  Rows are independent: repeated rows give repeated results, an
     empty table an empty one, and all other columns pass unchanged (one called like ``count_col`` is replaced).
     """
-    text = F.col(text_col)
+    hide_round_keys(docs.sparkSession)
+    made = pseudonymise(F.col(text_col), Key(key, inverse), kinds)
     if count_col is None:
-        return docs.withColumn(text_col, pseudonymise(text, key, kinds)["text"])
-    p = docs.withColumn("__p", pseudonymise(text, key, kinds))
-    return p.withColumn(text_col, F.col("__p.text")).withColumn(count_col, F.coalesce(F.col("__p.n"), F.lit(0).cast("long"))).drop("__p")
+        return docs.withColumn(text_col, made["text"])
+    own = "made"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    out = docs.withColumn(own, made)
+    return out.withColumn(text_col, F.col(own)["text"]).withColumn(count_col, F.coalesce(F.col(own)["n"], F.lit(0).cast("long"))).drop(own)
