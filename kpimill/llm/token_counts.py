@@ -95,7 +95,9 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, dtype: st
 
     seen = Staged(blocks.repartition(min(n, 4096)).mapInArrow(look, "file string, at long, n long, n_ends long, last long, ends binary, final boolean"), "blocks").df()
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    joined = seen.withColumn("no", F.coalesce(F.sum("n_ends").over(before), F.lit(0))).withColumn("after", F.coalesce(F.max("last").over(before), F.lit(-1)))
+    # only counts go through the window by file; the separators of a block wait where they are
+    scanned = seen.select("file", "at", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("no"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("after"))
+    joined = seen.select("file", "at", "n", "ends", "final").join(scanned, ["file", "at"])
     out_schema = pa.schema([("file", pa.string()), ("doc_no", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64())])
 
     def stitch(batches):
