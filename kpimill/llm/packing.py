@@ -22,6 +22,7 @@ from kpimill.llm.tokens import default_path, encoder
 
 END = 2
 ITEMS = 20_000  #: underfull bins that one task packs together
+SLACK = 4  #: free tokens of a bin that counts as nearly full
 FAN_IN = 8  #: tasks of a level that meet in one task of the next
 _MEMBER = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 _BINS = pa.schema([("full", pa.bool_()), ("used", pa.int32()), ("members", pa.binary())])
@@ -125,7 +126,7 @@ def _places(batches):
             )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end: int = END, slack: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end: int = END, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece of each row of ``docs``.
 
     A document is the ids of its text and then ``end``.  Documents longer than ``capacity`` are cut into pieces of
