@@ -34,7 +34,7 @@ def empty(spark):
 
 def clashing(df):
     """Extra columns with the names that operators use themselves."""
-    for c in ("node", "key", "size", "component", "hash", "block", "copies", "payload", "spans", "n", "h", "at", "__p", "_copies"):
+    for c in ("node", "key", "size", "component", "hash", "block", "copies", "payload", "spans", "n", "h", "at", "__p", "made", "_copies", "_n", "_copy", "row", "lam", "target", "left", "k", "query", "ids", "part", "g", "a", "b"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -102,7 +102,7 @@ def test_near_duplicates_links_outside_the_first_star(spark):
 
 def test_no_documents(spark):
     from kpimill.llm.language_id import identify_languages
-    from kpimill.llm.mixing import mix_sources
+    from kpimill.llm.mixing import mix_documents, mix_sources
     from kpimill.llm.near_dedup import near_duplicates
     from kpimill.llm.packing import pack_documents
     from kpimill.llm.pii import pseudonymise_documents
@@ -110,7 +110,7 @@ def test_no_documents(spark):
     from kpimill.llm.suffix_dedup import remove_repeats
 
     e = empty(spark)
-    for f in (near_duplicates, remove_repeats, pack_documents, mix_sources, quality_verdicts, lambda d: identify_languages(d, d), lambda d: pseudonymise_documents(d, "k")):
+    for f in (near_duplicates, remove_repeats, pack_documents, mix_sources, mix_documents, quality_verdicts, lambda d: identify_languages(d, d), lambda d: pseudonymise_documents(d, "k")):
         assert f(e).count() == 0
 
 
@@ -125,12 +125,44 @@ def test_bayes_bounds_keep_what_may_be_similar():
     assert [n for n, _ in least_matches(0.8, 1e-4)][-1] == SIGNATURE
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """So many near copies, with strays among them, that trees, hot keys and blocks of a bucket all come into play."""
+    from kpimill.llm.near_dedup import near_duplicates
+
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for k in rng.choice(100, 3, replace=False):
+            w[k] = f"x{rng.integers(10**9)}"
+        rows.append((i, " ".join(w)))
+    for i in range(1500, 1530):  # share half of the words, or nothing
+        rows.append((i, " ".join([*base[:70], *[f"y{i}_{k}" for k in range(30)]]) if i % 2 else f"alone {i}"))
+    rows += [(i, None) for i in range(1600, 2800)] + [(2800 + i, rows[5][1]) for i in range(1300)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1).collect()}
+    short = [r for r in rows if r[0] < 1530]
+    want = components(short, 1) | {i: i for i in range(1600, 2800)} | {2800 + i: 0 for i in range(1300)}
+    assert want[5] == 0 and got == want
+
+
 def test_components_of_chains_and_stars(spark):
     from kpimill.llm.components import connected_components
 
     edges = [(k + 1, k) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
+    star = spark.range(1, 3000).selectExpr("5000 as a", "id as b")  # a node and a label of so many rows are hot keys
+    assert connected_components(star).groupBy("component").count().collect() == [(1, 3000)]
+
+
+def test_joins_with_hot_keys(spark):
+    from kpimill.llm.common import join_hot
+
+    left = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2 * 7).when(F.col("id") % 2 == 0, F.col("id")).alias("key"), "id")
+    right = spark.range(0, 4000).select(F.col("id").alias("key"), (F.col("id") + 1).alias("v"))
+    for how in ("inner", "left"):
+        assert sorted(map(str, join_hot(left, right, "key", how).select("key", "id", "v").collect())) == sorted(map(str, left.join(right, "key", how).select("key", "id", "v").collect()))
 
 
 # --- repeated windows ---
@@ -158,6 +190,37 @@ def test_remove_repeats(spark, real, depth):
     assert got == cut(rows, depth)
 
 
+def test_remove_repeats_of_very_long_texts(spark):
+    """Texts over several segments, a passage across a segment's end, and a phrase that very many texts share."""
+    from kpimill.llm.suffix_dedup import remove_repeats
+
+    rng = np.random.default_rng(3)
+    some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared, phrase = some(3000), some(95)
+    rows = [(1, some(523_000) + shared + some(60_000)), (2, some(400_000) + shared + some(700) + shared[:150]), (3, shared[50:2000]), (4, "ab" * 300_000)]
+    rows += [(100 + k, some(150) + phrase + some(150)) for k in range(1500)] + [(5000 + k, some(150) + phrase + shared[:40 + k % 80]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, bucket_bytes=1 << 16).collect()}
+    assert got == cut(rows, 100)
+
+
+def test_a_common_phrase_fills_no_bucket():
+    import pyarrow as pa
+
+    from kpimill.llm.suffix_dedup import _pass_digits, _unpack
+
+    rng = np.random.default_rng(4)
+    some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    phrase, size = some(95), collections.Counter()
+    for task in range(4):
+        texts = [some(200) + phrase + some(200) for _ in range(5000)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(5000 * task, 5000 * task + 5000), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+        for out in _pass_digits(256, 100)([batch]):
+            for row in range(len(out)):
+                size[out.column(0)[row].as_py()] += len(_unpack(pa.Table.from_batches([out.slice(row, 1)]))[0][0])
+    assert len(size) == 256 and max(size.values()) <= 2 * np.median(list(size.values()))
+
+
 def test_remove_repeats_edges(edge):
     from kpimill.llm.suffix_dedup import remove_repeats
 
@@ -194,6 +257,20 @@ def test_packing(spark, edge, real):
     assert pack_documents(edge).select("doc_id").where("piece = 0").count() == len(EDGE)
 
 
+def test_token_ids_are_those_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from kpimill.llm.tokens import default_path, encoder
+
+    tk, encode = Tokenizer.from_file(default_path()), encoder(default_path())
+    rng = np.random.default_rng(5)
+    ranges = [(32, 127), (9, 33), (160, 768), (0x370, 0x600), (0x4E00, 0x4F00), (0x1F300, 0x1F700), (0x2000, 0x2070), (0, 0xD800)]
+    texts = ["".join(chr(rng.integers(*ranges[rng.integers(len(ranges))])) for _ in range(rng.integers(0, 60))) for _ in range(4000)]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["<|endoftext|>", "a  b", "\u3000\u3000x", "it's  we'll\n\n "]
+    for t in texts:
+        assert encode(t) == tk.encode(t, add_special_tokens=False).ids
+
+
 def test_best_fit():
     from kpimill.llm.packing import best_fit
 
@@ -227,7 +304,7 @@ def level(sizes, weights=(5, 2, 1), share=1.5, most=2):
 
 @pytest.mark.parametrize("which", ["edge", "real"])
 def test_mixing(request, which):
-    from kpimill.llm.mixing import apply_mix, mix_sources
+    from kpimill.llm.mixing import mix_documents, mix_sources
 
     df = request.getfixturevalue(which)
     mixed = mix_sources(clashing(df))
@@ -242,11 +319,56 @@ def test_mixing(request, which):
         s = None if s == "-" else s
         assert np.allclose(g.target, want[s]) and set(g.source_size) == {sizes[s]} and (g.taken <= 2 * g["size"]).all()
         assert abs(g.taken.sum() - want[s]) <= max(1 + 0.02 * want[s], g["size"].max() if len(g) < 5 else 0)
+        if len(g) > 20:
+            assert abs(g.taken.sum() - want[s]) <= 20
+            # the tilt: below the bound the rates are one exponential of the size
+            free = g[(g.rate < 2) & (g["size"] > 0)]
+            assert np.ptp(np.log(free.rate) / free["size"]) < 1e-9 and abs((g.rate * g["size"]).sum() - want[s]) < 1e-6 * want[s]
+            assert (abs(g.groupby("size").copies.sum() - g.groupby("size").rate.sum())[lambda x: x.index > 0] <= 1 + 20).all()
     again = mix_sources(df.repartition(3)).toPandas()
     key = ["doc_id", "source", "size", "copies"]
     assert got[key].fillna("-").astype(str).sort_values(key).values.tolist() == again[key].fillna("-").astype(str).sort_values(key).values.tolist()
-    if which == "real":
-        assert apply_mix(df, mixed).count() == got.copies.sum()
+    taken = collections.Counter({(r.doc_id, r.text, r.row): n for r, n in collections.Counter(mix_documents(clashing(df)).select("doc_id", "text", "row").collect()).items()})
+    assert sum(taken.values()) == got.copies.sum() and {r for _, _, r in taken} <= {"x"}
+    by_id = collections.Counter()
+    for (i, t, _), n in taken.items():
+        by_id[-1 if i is None else i] += n
+    assert by_id == collections.Counter(dict(got.assign(doc_id=got.doc_id.fillna(-1)).groupby("doc_id").copies.sum()[lambda x: x > 0].items()))
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Rows that share an id and a text are taken each by itself, so the mix still meets its target."""
+    from kpimill.llm.mixing import mix_documents, mix_sources
+
+    rows = [(1, "a b c d", "s")] * 300 + [(k, "w " * (k % 7 + 1), "t") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, sizes = mix_sources(df).toPandas(), {"s": 1200, "t": sum(k % 7 + 1 for k in range(900))}
+    for s, want in level(sizes).items():
+        assert abs(got[got.source == s].taken.sum() - want) <= 4
+    assert mix_documents(df).count() == got.copies.sum()
+
+
+def test_newton_against_plain_bisection(spark):
+    from kpimill.llm.mixing import multipliers
+
+    rng = np.random.default_rng(2)
+    hist = [(f"+{k}", int(s), int(n)) for k in range(12) for s, n in zip(rng.choice(5000, 60, replace=False), rng.integers(1, 500, 60))]
+    total, docs = collections.Counter(), collections.Counter()
+    for key, s, n in hist:
+        total[key] += s * n
+        docs[key] += n
+    sources = [(key, t, docs[key], t * (0.05 + 0.17 * k)) for k, (key, t) in enumerate(total.items())]
+    got = multipliers(spark.createDataFrame(hist, "key string, size long, n long"), spark.createDataFrame(sources, "key string, source_size long, docs long, target double"), 2).collect()
+    assert len(got) == 12 and all(r.done for r in got)
+    for r in got:
+        own = np.array([(s, n) for key, s, n in hist if key == r.key], float)
+        mean = total[r.key] / docs[r.key]
+        at = lambda lam: (own[:, 0] * own[:, 1] * np.minimum(2, np.exp(np.minimum(lam * own[:, 0] / mean, 50)))).sum()  # noqa: E731, B023
+        lo, hi = -50 * mean, 50 * mean
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if at(mid) < r.target else (lo, mid)
+        assert abs(at(r.lam) - r.target) <= 1e-8 * r.target and abs(at(lo) - r.target) <= 1e-6 * r.target
 
 
 # --- personal data ---
@@ -306,13 +428,78 @@ def test_pseudonyms_of_other_groupings(spark):
 
 
 def test_feistel_permutes(spark):
-    from kpimill.llm.pii import feistel_number, feistel_text
+    from kpimill.llm.pii import Key, feistel_number, feistel_text
 
-    assert spark.range(147 * 487).select(feistel_number(F.col("id"), 147, 487, "k", "d").alias("v")).agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()[:] == (71589, 0, 71588)
-    df = spark.range(10_000).select(feistel_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "x").alias("v"))
+    k = Key("k")
+    assert spark.range(147 * 487).select(feistel_number(F.col("id"), 147, 487, k, "d").alias("v")).agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()[:] == (71589, 0, 71588)
+    df = spark.range(10_000).select(feistel_text(F.lpad(F.col("id").cast("string"), 4, "0"), k, "x").alias("v"))
     assert df.distinct().count() == 10_000
 
 
+def test_feistel_against_plain_python(spark):
+    import hmac
+
+    import xxhash
+
+    from kpimill.llm.pii import Key, feistel_number, feistel_text
+
+    secret = hmac.new(b"k", b"x", hashlib.sha256).hexdigest()
+    sha = lambda *x: hashlib.sha256("|".join(["round-key-" + secret, *map(str, x)]).encode()).hexdigest()
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+
+    def text(s):
+        for r in range(1, 9):
+            left, right = s[: len(s) // 2], s[len(s) // 2 :]
+            d = sha(r, len(s), left if r % 2 else right)
+
+            def moved(part):
+                out = ""
+                for at, c in enumerate(part, 1):
+                    by = signed(xxhash.xxh64_intdigest(at.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(d.encode(), seed=42))) % 1040  # noqa: B023
+                    first, n = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26) if c.isupper() else (0, 0)
+                    out += chr(first + (ord(c) - first + by) % n) if n else c
+                return out
+
+            s = left + moved(right) if r % 2 else moved(left) + right
+        return s
+
+    def number(x, a, b):
+        q, m = divmod(x, b)
+        for r in range(1, 9):
+            k = signed(xxhash.xxh64_intdigest(sha(r, q if r % 2 else m).encode(), seed=42))
+            q, m = (q, (m + k % b) % b) if r % 2 else ((q + k % a) % a, m)
+        return q * b + m
+
+    values = ["Ab3-zZ9", "x", "", "4111111111111111", "a.b+c@D", "0" * 300]
+    got = spark.createDataFrame(list(enumerate(values)), "i long, s string").select("s", feistel_text(F.col("s"), Key("k"), "x").alias("v")).collect()
+    assert {r.s: r.v for r in got} == {s: text(s) for s in values}
+    got = spark.range(0, 71589, 700).select("id", feistel_number(F.col("id"), 147, 487, Key("k"), "x").alias("v")).collect()
+    assert {r.id: r.v for r in got} == {r.id: number(r.id, 147, 487) for r in got}
+
+
+def test_pseudonyms_can_be_undone_with_the_key(spark):
+    from kpimill.llm.pii import pseudonymise_documents
+
+    rows = [
+        "mail ab.42@mail8.example.com", "cards 4111 1111 1111 1111, 4111-1111-1111-1111 and 5500005555555559", "+1 (136) 555-7479 or 212-555-1234 or 555.123.4567 or +49 30 123 4567", "97.51.17.173 and 10.0.0.1",
+        "1984-02-29, 31.12.1999, 2004/07/01", "811218-9876 and 123-45-6789", "GB82 WEST 1234 5698 7654 32, ES91 2100 0418 4502 0005 1332 EUR", 'token = "24be64439e3e49cf46b2" and password=Zx9.' + "q7W-" * 100 + "end", "nothing", None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    made = pseudonymise_documents(df, "k")
+    back = {r.doc_id: r.text for r in pseudonymise_documents(made, "k", inverse=True).collect()}
+    wrong = {r.doc_id: r.text for r in pseudonymise_documents(made, "j", inverse=True).collect()}
+    assert [back[k] for k in range(len(rows))] == rows and all(wrong[k] != rows[k] for k in range(8))
+
+
+def test_pseudonyms_keep_other_columns_and_hide_the_key(spark, edge):
+    from kpimill.llm.pii import Key, pseudonymise_documents
+
+    out = pseudonymise_documents(clashing(edge), "a secret of ours")
+    assert out.columns == [*clashing(edge).columns, "n_pseudonyms"] and {(r["__p"], r.made) for r in out.collect()} == {("x", "x")}
+    plan = out._jdf.queryExecution().toString() + out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Project" in plan and "a secret of ours" not in plan and Key("a secret of ours").of("card") not in plan and "round-key" not in plan
+
+
 # --- quality ---
 
 
@@ -333,6 +520,32 @@ def test_counts_and_verdicts(spark, edge, real):
     assert got == want
 
 
+def test_expectation_maximisation_against_arrays(spark):
+    """The same model with numpy over documents instead of combinations of votes; verdicts by its posterior."""
+    from kpimill.llm.quality_rules import RULES, quality_verdicts
+
+    got = quality_verdicts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    v = got[[r.name for r in RULES]].to_numpy(int)
+    prior, bad = 0.8, np.tile([[0.4], [0.01]], (1, len(RULES)))  # P(bad vote | a vote) of bad and of good documents
+
+    def posterior():
+        log = np.where(v == 1, np.log(1 - bad[1]) - np.log(1 - bad[0]), np.where(v == -1, np.log(bad[1]) - np.log(bad[0]), 0)).sum(axis=1)
+        return 1 / (1 + np.exp(-np.log(prior / (1 - prior)) - log))
+
+    for _ in range(40):
+        p, last = posterior(), prior
+        prior = (p.sum() + 1) / (len(p) + 2)
+        for c, w in ((0, 1 - p), (1, p)):
+            bad[c] = ((w[:, None] * (v == -1)).sum(axis=0) + 0.5) / ((w[:, None] * (v != 0)).sum(axis=0) + 1)
+        bad[1] = np.minimum(bad[1], 0.002)
+        if abs(prior - last) < 1e-6:
+            break
+    p = posterior()
+    assert np.abs(p - got.p_good).max() < 1e-9 and ((p >= 0.5) & ~got.base_failed).tolist() == got.kept.tolist()
+    failed = (got.n_words < 50) | (2 * got.n_repeat_words > got.n_words)
+    assert failed.tolist() == got.base_failed.tolist() and 0 < got.kept.sum() < len(got)
+
+
 def test_verdicts_follow_labels(spark):
     from kpimill.llm.quality_rules import quality_verdicts
 
@@ -552,6 +765,7 @@ def test_separator_scan(spark, edge, real, tmp_path):
 
     enc = encoder(default_path(), True)
     df = real.select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
+    assert document_token_counts(empty(spark), f"file://{tmp_path}/empty").count() == 0
     got = collections.Counter((r.doc_id, r.n_tokens) for r in document_token_counts(clashing(df), f"file://{tmp_path}/a").collect())
     assert got == collections.Counter((r.doc_id, len(enc(r.text or ""))) for r in df.collect())
     (tmp_path / "b").mkdir()
