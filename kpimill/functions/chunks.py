@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kpimill.functions.text import let, strip
+from kpimill.functions.text import let
 
 REACH = 200  #: how far from a chunk's border a safe break may lie
 # Break marks in order of preference, all of them plain text
@@ -35,32 +35,34 @@ def words(text: Column) -> Column:
 def windows(tokens: Column, size: int, overlap: int | float) -> Column:
     """Overlapping windows of ``size`` tokens, the last one ending with the sequence; none of an empty sequence."""
     step = size - overlap_size(size, overlap)
-    n = F.size(tokens)
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(t, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(tokens, cut)  # once, not for each window
 
 
 def greedy(items: Column, size: int, cost=None) -> Column:
     """Groups of words; a group ends with the word that brings its cost to ``size`` (one a word unless ``cost`` says)."""
+    none = F.array().cast("array<array<string>>")
     if cost is None:
-        n = F.size(items)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.slice(items, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("group"), F.array().cast("array<struct<g:bigint,w:string>>").alias("out"))
-
-    def step(a: Column, w: Column) -> Column:
-        put = F.array_append(a["out"], F.struct(a["group"].alias("g"), w.alias("w")))
-        return let(a["used"] + cost(w), lambda u: F.struct(F.when(u >= size, 0).otherwise(u).alias("used"), (a["group"] + F.when(u >= size, 1).otherwise(0)).alias("group"), put.alias("out")))
-
-    def split(rows: Column) -> Column:
-        top = F.element_at(rows, -1)["g"]
-        groups = F.transform(F.sequence(F.lit(0).cast("long"), top), lambda g: F.transform(F.filter(rows, lambda r: r["g"] == g), lambda r: r["w"]))
-        return F.when(F.size(rows) > 0, groups).otherwise(F.array().cast("array<array<string>>"))
+        part = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / size).cast("int")), lambda i: F.slice(t, i * size + 1, F.lit(size)))
+        return let(items, lambda t: F.when(F.size(t) > 0, part(t)).otherwise(none))
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
-    return let(F.aggregate(items, zero, step, lambda a: a["out"]), split)
+    def step(a: Column, w: Column) -> Column:  # the array only grows where a group ends
+        ends = lambda full: F.when(full, F.array_append(a["ends"], a["at"] + 1)).otherwise(a["ends"])
+        return let(a["used"] + cost(w), lambda u: F.struct(F.when(u >= size, 0).otherwise(u).alias("used"), (a["at"] + 1).alias("at"), ends(u >= size).alias("ends")))
 
+    def split(t: Column) -> Column:
+        ends = lambda e: F.when(F.coalesce(F.element_at(e, -1), F.lit(0)) < F.size(t), F.array_append(e, F.size(t))).otherwise(e)
+        before = lambda e, i: F.when(i > 0, F.get(e, i - 1)).otherwise(0)
+        groups = lambda e: F.transform(e, lambda end, i: F.slice(t, before(e, i) + 1, end - before(e, i)))
+        return F.when(F.size(t) > 0, let(let(F.aggregate(t, zero, step, lambda a: a["ends"]), lambda e: F.when(F.size(e) > 0, ends(e)).otherwise(F.array(F.size(t)))), groups)).otherwise(none)
 
-def chunk_texts(chunks: Column) -> Column:
-    return F.transform(chunks, lambda c: strip(F.array_join(c, " ")))
+    return let(items, split)
 
 
 def _rfind(text: Column, mark: str) -> Column:

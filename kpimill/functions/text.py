@@ -97,7 +97,7 @@ def clean_entity(c: Column) -> Column:
 
 
 def repair_split_emails(c: Column) -> Column:
-    """Joins ``@domain`` fragments that a line break parted."""
+    """Joins ``@domain`` fragments that a line break parted.  The pattern is a fixed value."""
     return F.regexp_replace(c, r"(?i)(@[^\s@]*)[\r\n]+([^\s@]+\.[a-z]{2,10})", "$1$2")
 
 
@@ -108,10 +108,20 @@ def redact(text: Column, terms: Column, mask: str = "█") -> Column:
     return F.aggregate(order, text, lambda a, t: F.regexp_replace(a, quoted(t), F.lit(mask)))
 
 
+def plain_number(c: Column) -> Column:
+    """A number written with optional sign, decimals, spaces, decimal comma and currency mark, or null."""
+    return F.replace(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("kr"), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
 def is_valid_numeric(c: Column) -> Column:
-    """Digits with optional sign, decimals, spaces, decimal comma and currency mark."""
-    plain = F.replace(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("kr"), F.lit("")), F.lit(","), F.lit("."))
-    return F.coalesce(plain.try_cast("double").isNotNull(), F.lit(False))
+    return F.coalesce(plain_number(c).isNotNull(), F.lit(False))
+
+
+def printed_number(text: Column) -> Column:
+    """The number in a page's first or last line that is not blank, where it is marked as one: ``Sida 3``, ``- 3 -``, ``3 (12)``."""
+    number = r"(?:[Ss]id(?:a|an)?\.? *(\d{1,3})(?: *(?:\(\d+\)|av \d+|/ *\d+))?|[-–] *(\d{1,3}) *[-–]|(\d{1,3}) *\(\d+\))"
+    one = lambda p: F.coalesce(*[F.nullif(F.regexp_extract(text, p, k), F.lit("")) for k in (1, 2, 3)])
+    return F.coalesce(one(rf"(?:^|\n)[ \t]*{number}\s*$"), one(rf"^\s*{number}[ \t]*(?:\r?\n|$)")).try_cast("int")
 
 
 def sheet_name(c: Column) -> Column:

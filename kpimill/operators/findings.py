@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpimill.functions.text import source_parts, source_text
+from kpimill.functions.text import plain_number, source_parts, source_text
+from kpimill.operators.staging import kept
 from kpimill.schema import CERTAINTY, COMMENT, FIELDS, SOURCE, TREE, VALUE
 
 
 def unnest(trees: DataFrame, json: str = "json", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of (fund, year, metric) from tree texts, with the places that order them."""
+    """Rows of (fund, year, metric) from tree texts, with the places that order them.
+
+    ``value_raw`` is the value as written, ``value`` the number that it is, if it is one (``12 244,5 kr`` too).
+    """
     t = trees.select(*keep, F.from_json(json, TREE).alias("tree"))
     t = t.select(*keep, F.posexplode("tree").alias("fund_pos", "fund", "years"))
     t = t.select(*keep, "fund_pos", "fund", F.posexplode("years").alias("year_pos", "year", "metrics"))
     t = t.select(*keep, "fund_pos", "fund", "year_pos", "year", F.posexplode("metrics").alias("metric_pos", "metric", "f"))
     f = F.col("f")
-    return t.select(*keep, "fund_pos", "year_pos", "metric_pos", "fund", "year", "metric", f[VALUE].alias("value_raw"), f[VALUE].try_cast("double").alias("value"), f[SOURCE].alias("source"), f[CERTAINTY].alias("certainty"), f[COMMENT].alias("comment"))
+    return t.select(*keep, "fund_pos", "year_pos", "metric_pos", "fund", "year", "metric", f[VALUE].alias("value_raw"), F.coalesce(f[VALUE].try_cast("double"), plain_number(f[VALUE])).alias("value"), f[SOURCE].alias("source"), f[CERTAINTY].alias("certainty"), f[COMMENT].alias("comment"))
 
 
 def nest(findings: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -34,9 +38,9 @@ def nest(findings: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return m.select(*keys, F.to_json("m", {"ignoreNullFields": "false"}).alias("json"))
 
 
-def with_values(findings: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
+def with_values(findings: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_no"), value: str = "value") -> DataFrame:
     """(keys, n_values) of the chunks that hold at least one value."""
-    return findings.groupBy(*keys).agg(F.count("value").alias("n_values")).where("n_values > 0")
+    return findings.groupBy(*keys).agg(F.count(value).alias("n_values")).where("n_values > 0")
 
 
 def merge_first(findings: DataFrame, keys: tuple[str, ...] = ("fund", "year", "metric"), by_row: bool = False) -> DataFrame:
@@ -101,7 +105,10 @@ def consolidate_conflicts(findings: DataFrame, keys: tuple[str, ...] = ("doc_id"
     comment are those of the last finding, whatever its value.  ``n_consolidated`` counts the sources beyond the first
     of each value.
     """
-    listed = cells(findings, keys).where("listed")
+    return _consolidated(cells(findings, keys).where("listed"), keys)
+
+
+def _consolidated(listed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     by_value = listed.groupBy(*keys, "value").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by(F.struct("certainty", "comment"), "seq").alias("last"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(source_parts(F.col("source")))))).alias("parts"),
@@ -123,7 +130,7 @@ def pool_prefix_sources(cells_: DataFrame, keys: tuple[str, ...] = ("doc_id", "f
     hit = F.col("__other").startswith(F.col("metric"))
     pooled = a.where("value is not null").join(b, [*keys, "value"]).where(hit).groupBy(*keys, "metric").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__parts")))).alias("__all"))
     out = a.join(pooled, [*keys, "metric"], "left")
-    zero = F.lit(compat) & (F.col("value") == 0)
+    zero = F.lit(compat) & (F.col("value").cast("string").try_cast("double") == 0)
     return out.select(
         *keys, "metric", "value", F.when(F.col("__all").isNotNull(), source_text(F.col("__all"))).otherwise(F.col("source")).alias("source"),
         F.when(~F.coalesce(zero, F.lit(False)), F.col("certainty")).alias("certainty"), F.when(~F.coalesce(zero, F.lit(False)), F.col("comment")).alias("comment"),
@@ -134,15 +141,16 @@ def pool_prefix_sources(cells_: DataFrame, keys: tuple[str, ...] = ("doc_id", "f
 def consolidate(findings: DataFrame, compat: bool = False) -> DataFrame:
     """Fund names unified per document, conflicts consolidated, sources pooled in documents that had a conflict.
 
-    (doc_id, fund, year, metric, value, source, certainty, comment).
+    (doc_id, fund, year, metric, value, source, certainty, comment).  The findings are read for the names and for the
+    cells, which are kept: one window over them tells single findings from lists.
     """
     keys = ("doc_id", "fund", "year", "metric")
     names = unify_funds(findings).select("doc_id", F.col("unified").alias("__unified"))
     f = findings.join(names, "doc_id").withColumn("fund", F.col("__unified")).drop("__unified")
-    c = cells(f, keys)
+    c = kept(cells(f, keys).select(*keys, *FIELDS, "seq", "listed", "in_conflict", "is_first"))
     single = c.where("is_first and not in_conflict").select(*keys, *FIELDS)
-    lists = consolidate_conflicts(f, keys).select(*keys, *FIELDS)
-    with_conflict = lists.select("doc_id").distinct().withColumn("__had", F.lit(True))
+    lists = _consolidated(c.where("listed"), keys).select(*keys, *FIELDS)
+    with_conflict = c.where("in_conflict").select("doc_id").distinct().withColumn("__had", F.lit(True))
     marked = single.join(with_conflict, "doc_id", "left")
     pooled = pool_prefix_sources(marked.where("__had").drop("__had"), compat=compat).select(*keys, *FIELDS)
     return marked.where("__had is null").select(*keys, *FIELDS).unionByName(pooled).unionByName(lists)

@@ -54,8 +54,9 @@ def merge_shallow(spark, d):
 
 @query
 def findings_unnest(spark, d):
-    f = I.findings(spark, d).withColumn("k", F.struct("seq"))
-    return FO.unnest(FO.nest(f, ("doc_id", "k")), keep=("doc_id",)).select("doc_id", "fund", "year", "metric", "value", "source", "certainty", "comment")
+    """Trees of whole chunks, with many funds, years and metrics each."""
+    cells = FO.merge_first(I.findings(spark, d), ("doc_id", "chunk_no", "fund", "year", "metric"), by_row=True)
+    return FO.unnest(FO.nest(cells, ("doc_id", "chunk_no")), keep=("doc_id", "chunk_no")).select("doc_id", "chunk_no", "fund", "year", "metric", "value", "source", "certainty", "comment")
 
 
 @query
@@ -91,13 +92,6 @@ def report_dense(spark, d):
 
 @query
 def report_pivot(spark, d):
-    names = list(I.PIVOT_FUNDS)
-    long = RO.dense(_merged(spark, d).where(F.col("fund").isin(names)), I.metric_defs(spark, d), I.funds(spark, d))
-    return RO.pivot(long, names).select("year", "grp", "metric", *[F.col(n).alias(f"v_{n.lower().replace(' ', '_')}") for n in names])
-
-
-@query
-def report_pivot_all(spark, d):
     """The pivot with a column for every fund of the findings, in order of their names."""
     merged = _merged(spark, d)
     names = sorted(r.fund for r in merged.select("fund").distinct().collect())
@@ -236,6 +230,13 @@ def chunk_greedy(spark, d):
     return I.table(spark, d, "documents").select("doc_id", F.posexplode(w).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.size("c").alias("n"), F.md5(F.array_join("c", " ").cast("binary")).alias("digest"))
 
 
+@query
+def chunk_greedy_cost(spark, d):
+    """Groups of words that end with the word that brings them to 600 characters."""
+    w = C.greedy(C.words(F.col("text")), 600, lambda x: F.length(x).cast("long"))
+    return I.table(spark, d, "documents").select("doc_id", F.posexplode(w).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.size("c").alias("n"), F.md5(F.array_join("c", " ").cast("binary")).alias("digest"))
+
+
 @query
 def chunk_safe_break(spark, d):
     part = F.array_join(F.array(F.lit("head:\n"), F.col("c_name"), F.lit(":\nrow "), F.col("c_mktsegment")), "")
@@ -281,13 +282,12 @@ def term_list(spark, d):
 
 @query
 def header_lines(spark, d):
-    return LO.headers(I.report_lines(spark, d), I.metric_defs(spark, d).select(F.lower("metric").alias("term")))
+    return LO.headers(I.report_lines(spark, d), I.metric_defs(spark, d).select(F.col("metric").alias("term")))
 
 
 @query
 def line_repair(spark, d):
-    words = [r.metric for r in I.metric_defs(spark, d).select("metric").orderBy("metric").collect()]
-    return LO.repair_lines(I.report_lines(spark, d), words)
+    return LO.repair_lines(I.report_lines(spark, d), I.metric_defs(spark, d).select(F.col("metric").alias("term")))
 
 
 @query

@@ -10,8 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: the funds of the pivoted report, by official name
-PIVOT_FUNDS = ("NATION_0", "NATION_10", "NATION_15", "NATION_20", "NATION_5")
 #: the total order of line items; (l_orderkey, l_linenumber) alone isn't unique
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
@@ -49,9 +47,10 @@ def year_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, whole, each with a line of personal data added, every second address broken in two."""
     i = F.col("doc_id").cast("string")
     broken = F.when(F.col("doc_id") % 2 == 0, "\n").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("mail user"), i, F.lit("@mail"), broken, F.lit(".example.com end 800101-1234 DOB: 1980/01/01")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nmail user"), i, F.lit("@mail"), broken, F.lit(".example.com end 800101-1234 DOB: 1980/01/01")).alias("text"))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from kpimill.plans.inputs import PIVOT_FUNDS
-
 _F1 = """
 b AS (
  SELECT n.n_regionkey AS doc_id, l.l_orderkey % 8 AS chunk_no, n.n_name AS fund, CAST(year(l.l_shipdate) AS VARCHAR) AS year,
@@ -61,7 +59,7 @@ best AS (SELECT doc_id, vote FROM (SELECT *, row_number() OVER (PARTITION BY doc
 tot AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_votes, max(n) AS m FROM cnt GROUP BY doc_id),
 mode AS (SELECT t.doc_id, coalesce(b.vote, -1) AS vote, t.n_votes, round(CASE WHEN n_votes > 0 THEN m / n_votes ELSE 0.0 END, 9) AS ratio FROM tot t LEFT JOIN best b USING (doc_id))"""
 _F4 = """
-t AS (SELECT doc_id, concat('mail user', CAST(doc_id AS VARCHAR), '@mail', CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END, '.example.com end 800101-1234 DOB: 1980/01/01') AS text FROM documents)"""
+t AS (SELECT doc_id, concat(text, chr(10), 'mail user', CAST(doc_id AS VARCHAR), '@mail', CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END, '.example.com end 800101-1234 DOB: 1980/01/01') AS text FROM documents)"""
 _F5 = """
 r AS (SELECT l_suppkey AS doc_id, p_type, l_returnflag, CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) AS q, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS e, l_linenumber,
  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS rn FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -69,6 +67,8 @@ lines AS (SELECT doc_id, rn * 4 AS line_no, CASE WHEN l_linenumber <= 3 THEN p_t
  UNION ALL SELECT doc_id, rn * 4 + 1, q FROM r UNION ALL SELECT doc_id, rn * 4 + 2, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE e END FROM r
  UNION ALL SELECT doc_id, rn * 4 + 3, concat('text ', l_returnflag) FROM r WHERE l_linenumber % 3 = 0)"""
 _EMAIL = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+"
+_REPAIRED = r"regexp_replace(text, '(?i)(@[^\s@]*)[\r\n]+([^\s@]+\.[a-z]{2,10})', '\1\2', 'g')"
+_TERMS = rf"list_distinct(list_concat(regexp_extract_all(text, '\b\d{{6}}[-+]\d{{4}}\b'), regexp_extract_all({_REPAIRED}, '{_EMAIL}'), regexp_extract_all({_REPAIRED}, '\bDOB:\s*(?:19|20)\d{{2}}/\d{{2}}/\d{{2}}\b')))"
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 _ROMAN = "concat(repeat('M', CAST(floor({n} / 1000) AS INT)), ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][CAST(floor({n} / 100) AS INT) % 10 + 1], ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][CAST(floor({n} / 10) AS INT) % 10 + 1], ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][CAST({n} AS INT) % 10 + 1])"
 _K = "doc_id, year, metric"
@@ -107,7 +107,7 @@ SQL: dict[str, str] = {
     "merge_first_by_row": _with(_F1, then="SELECT fund, year, metric, value, source, certainty, comment FROM (SELECT *, row_number() OVER (PARTITION BY fund, year, metric ORDER BY value IS NULL, seq) AS k FROM f) WHERE k = 1"),
     "merge_last_wins": _with(_F1, then="SELECT fund, year, metric, value, source, certainty, comment FROM (SELECT *, row_number() OVER (PARTITION BY fund, year, metric ORDER BY seq DESC) AS k FROM f) WHERE k = 1"),
     "merge_shallow": _with(_F1, "l AS (SELECT doc_id, fund, year, max(chunk_no) AS chunk_no FROM f GROUP BY ALL)", then="SELECT f.doc_id, f.fund, f.year, f.chunk_no, count(*) AS n, count(value) AS n_values FROM f JOIN l ON l.doc_id = f.doc_id AND l.fund = f.fund AND l.year = f.year AND l.chunk_no = f.chunk_no GROUP BY ALL"),
-    "findings_unnest": _with(_F1, then="SELECT doc_id, fund, year, metric, value, source, certainty, comment FROM f"),
+    "findings_unnest": _with(_F1, then="SELECT doc_id, chunk_no, fund, year, metric, value, source, certainty, comment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no, fund, year, metric ORDER BY value IS NULL, seq) AS k FROM f) WHERE k = 1"),
     "chunk_nonnull_filter": _with(_F1, then="SELECT doc_id, chunk_no, fund, year, metric, count(value) AS n_values FROM f GROUP BY ALL HAVING count(value) > 0"),
     "fund_unify": _with(_F1, then="SELECT doc_id, arg_min(fund, (-length(fund), seq)) AS unified, count(DISTINCT fund) AS n_funds FROM f GROUP BY doc_id"),
     "conflict_log": _with(_F1, _keys(_CELLS, _K), then=f"SELECT {_K}, count(*) AS n_listed, CAST(sum(conflict) AS BIGINT) AS n_conflicts, max(CASE WHEN is_first THEN value END) AS first_value FROM listed GROUP BY {_K}"),
@@ -120,8 +120,7 @@ SQL: dict[str, str] = {
         then="SELECT c.doc_id, c.fund, c.year, c.metric, c.value, coalesce(p.source, c.source) AS source, coalesce(p.n, 0) AS n_consolidated FROM c LEFT JOIN pool p ON p.doc_id = c.doc_id AND p.fund = c.fund AND p.year = c.year AND p.metric = c.metric",
     ),
     "report_dense": _with(_F1, _MERGED, _DEFS, _DENSE, then="SELECT * FROM dense"),
-    "report_pivot": _with(_F1, _MERGED, _DEFS, _DENSE, then="SELECT year, grp, metric, " + ", ".join(f"max(CASE WHEN fund = '{n}' THEN value END) AS v_{n.lower().replace(' ', '_')}" for n in PIVOT_FUNDS) + " FROM dense WHERE fund IN (" + ", ".join(f"'{n}'" for n in PIVOT_FUNDS) + ") GROUP BY year, grp, metric"),
-    "report_pivot_all": _with(_F1, _MERGED, _DEFS, _DENSE, "named AS (SELECT year, grp, metric, concat('v_', replace(lower(fund), ' ', '_')) AS fund, value FROM dense)", then="SELECT * FROM (PIVOT named ON fund USING max(value) GROUP BY year, grp, metric)"),
+    "report_pivot": _with(_F1, _MERGED, _DEFS, _DENSE, "named AS (SELECT year, grp, metric, concat('v_', replace(lower(fund), ' ', '_')) AS fund, value FROM dense)", then="SELECT * FROM (PIVOT named ON fund USING max(value) GROUP BY year, grp, metric)"),
     "metric_groups": _with(_DEFS, then="SELECT metric, metric_ord, grp, grp_ord FROM groups"),
     "fund_short_names": _with(_DEFS, then="SELECT n_name AS fund, coalesce(short_name, n_name) AS short_name FROM nation LEFT JOIN reg ON official_name = n_name"),
     "report_sheets": _with(_F1, _MERGED, then="SELECT translate(substr(fund, 1, 31), '/\\:', '---') AS sheet, count(*) AS n_rows FROM merged GROUP BY fund"),
@@ -133,11 +132,14 @@ SQL: dict[str, str] = {
     "report_year": _with(_F3, _YV, "w AS (SELECT doc_id, page_no, CASE WHEN vote >= 2000 THEN vote END AS vote FROM yv)", _src(_STOP, "w"), _src(_MODE, "cut"), then="SELECT doc_id, CASE WHEN vote >= 0 THEN vote END AS report_year FROM mode"),
     "vote_parse": "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 130 <= 99 THEN CAST(event_id % 130 AS INT) END AS page_vote, CAST(CASE WHEN 1500 + event_id % 1000 >= 2000 THEN 1500 + event_id % 1000 END AS INT) AS year_vote FROM events",
     "pii_emails": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) AS email FROM documents",
-    "pii_terms": _with(_F4, "w AS (SELECT doc_id, replace(text, chr(10), '') AS text FROM t)", then=f"SELECT doc_id, regexp_extract(text, '{_EMAIL}') AS term FROM w UNION ALL SELECT doc_id, '800101-1234' FROM w UNION ALL SELECT doc_id, 'DOB: 1980/01/01' FROM w"),
-    "pii_handles": _with(_F4, then="SELECT doc_id, '@mail' AS term FROM t"),
-    "pii_redact": _with(_F4, then="SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('mail user', CAST(doc_id AS VARCHAR), '@mail', chr(10), '.example.com end # #') ELSE 'mail # end # #' END AS text, 3 AS n_terms FROM t"),
+    "pii_terms": _with(_F4, then=f"SELECT doc_id, unnest({_TERMS}) AS term FROM t"),
+    "pii_handles": _with(_F4, then="SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@[A-Za-z0-9_]{1,15}'))) AS term FROM t"),
+    "pii_redact": _with(
+        _F4, f"m AS (SELECT doc_id, text, {_TERMS} AS terms FROM t)", "o AS (SELECT *, list_transform(list_sort(list_transform(terms, lambda x: {'n': -length(x), 'x': x})), lambda y: y.x) AS longest_first FROM m)",
+        then="SELECT doc_id, list_reduce(longest_first, lambda a, x: regexp_replace(a, concat('(?i)', regexp_escape(x)), '#', 'g'), text) AS text, len(terms) AS n_terms FROM o",
+    ),
     "redact_by_terms": f"SELECT doc_id, CAST(length(text) - coalesce(list_sum(list_transform(m, lambda x: length(x) - 1)), 0) AS BIGINT) AS n_chars, len(list_distinct(m)) AS n_terms FROM (SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)",
-    "email_repair": _with(_F4, then="SELECT doc_id, replace(text, chr(10), '') AS text FROM t"),
+    "email_repair": _with(_F4, then=f"SELECT doc_id, {_REPAIRED} AS text FROM t"),
     "mirror_dedup": "SELECT p_partkey, CASE WHEN length(p_name) >= 2 THEN p_name ELSE concat(p_name, ' ', upper(p_name)) END AS twice, concat(p_name, ' ', p_brand) AS other FROM part",
     "hyphen_norm": r"SELECT p_partkey, regexp_replace(concat(p_name, ' -  ', p_brand), '\s*-\s*', '-', 'g') AS name FROM part",
     "entity_clean": r"SELECT p_partkey, 'Kassan' AS entity FROM part UNION ALL SELECT p_partkey, regexp_replace(concat(p_brand, ' - x'), '\s*-\s*', '-', 'g') FROM part",
@@ -146,6 +148,13 @@ SQL: dict[str, str] = {
     "redaction_boxes": "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, l_quantity AS x0, round(l_extendedprice - 1, 4) AS y0, l_quantity + 5 AS x1, round(l_extendedprice + 9, 4) AS y1 FROM lineitem",
     "chunk_overlap": f"SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(len(c) AS INT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, k, w[CAST(k * 90 + 1 AS BIGINT) : CAST(k * 90 + 100 AS BIGINT)] AS c FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE 1 + CAST(ceil((len(w) - 100) / 90.0) AS BIGINT) END)) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))",
     "chunk_greedy": f"SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(len(c) AS INT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, k, w[CAST(k * 120 + 1 AS BIGINT) : CAST(k * 120 + 120 AS BIGINT)] AS c FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 120.0) AS BIGINT))) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))",
+    "chunk_greedy_cost": _with(
+        f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)",
+        "g AS (SELECT doc_id, list_reduce(w, lambda a, x: struct_pack(used := CASE WHEN a.used + length(x) >= 600 THEN 0 ELSE a.used + length(x) END, ends := CASE WHEN a.used + length(x) >= 600 THEN list_append(a.ends, a.n + 1) ELSE a.ends END, n := a.n + 1), struct_pack(used := 0::BIGINT, ends := []::BIGINT[], n := 0::BIGINT)) AS a, w FROM w WHERE len(w) > 0)",
+        "e AS (SELECT doc_id, w, CASE WHEN coalesce(a.ends[-1], 0) < len(w) THEN list_append(a.ends, len(w)) ELSE a.ends END AS ends FROM g)",
+        "c AS (SELECT doc_id, k, w[CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END + 1 : ends[k]] AS c FROM (SELECT *, unnest(range(1, len(ends) + 1)) AS k FROM e))",
+        then="SELECT doc_id, CAST(k - 1 AS INT) AS chunk_no, CAST(len(c) AS INT) AS n, md5(array_to_string(c, ' ')) AS digest FROM c",
+    ),
     "chunk_safe_break": "WITH p AS (SELECT c_custkey, c_name AS a, c_mktsegment AS b FROM customer) SELECT c_custkey, 0 AS chunk_no, concat('head:', chr(10), a, ':', chr(10)) AS chunk FROM p UNION ALL SELECT c_custkey, 1, concat('1 head:', chr(10), a, ':', chr(10)) FROM p UNION ALL SELECT c_custkey, 2, concat(a, ':', chr(10), 'row ', b) FROM p",
     "chunk_safe_break_documents": _with(
         r"w AS (SELECT doc_id, regexp_extract_all(replace(text, '. ', concat(':', chr(10))), '\S+\s*') AS w FROM documents)",

@@ -235,6 +235,84 @@ def test_whole_way(spark):
     assert [(x.chunk_no, x.value) for x in PL.answers_to_findings(answers).collect()] == [(1, 3.0)]
 
 
+def test_values_that_are_no_numbers_survive(spark):
+    answer = '{"F":{"2023":{"K":{"värde":"12,5 tkr"},"L":{"värde":"12 244,5 kr"},"M":{"värde":"(3)"}}}}'
+    answers = spark.createDataFrame([("d", 0, answer), ("e", 0, '{"F":{"2023":{"K":{"värde":"okänt"}}}}')], "doc_id string, chunk_no int, answer string")
+    got = {(r.doc_id, r.metric): (r.value, r.value_text) for r in PL.answers_to_findings(answers).collect()}
+    assert got == {("d", "K"): (None, "12,5 tkr"), ("d", "L"): (12244.5, "12244.5"), ("d", "M"): (None, "(3)"), ("e", "K"): (None, "okänt")}
+    pages = spark.createDataFrame([("d", 1, "K 1")], "doc_id string, page_no int, text string")
+    defs = spark.createDataFrame([(0, "K", [], None, None, None, None)], "ord int, metric string, synonyms array<string>, description string, formula string, grp string, instructions string")
+    for compat in (False, True):
+        r = PL.analyse(pages, defs, extractor=lambda *a: answer, compat=compat).collect()
+        assert {(x.metric, x.value, x.value_text) for x in r} == {("K", None, "12,5 tkr"), ("L", 12244.5, "12244.5"), ("M", None, "(3)")}
+
+
+def test_printed_numbers_move_the_labels(spark):
+    from kpimill.functions.text import printed_number
+
+    texts = {"x\nSida 3": 3, "x\n\n - 12 -  \n": 12, "4 (20)\nmore\n5": 4, "x\n5": None, "Sida 2 av 9\nx": 2, "": None, "sid. 7": 7, "on Sida 3 of it": None}
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", printed_number(F.col("t")).alias("n")).collect()}
+    assert got == texts
+    rows = [("d", k, "cover" if k < 3 else f"text\nSida {k - 2}") for k in range(1, 9)] + [("e", 1, "a"), ("e", 2, "b")]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
+    text = {r.doc_id: r.text for r in PL.documents(pages, ["K"]).collect()}
+    assert "[Sida II]" in text["d"] and "[Sida 1]\ntext\nSida 1" in text["d"] and text["e"].startswith("[Sida 1]")
+    votes = spark.createDataFrame([("e", 1, 1), ("e", 2, 1)], "doc_id string, page_no int, vote int")
+    assert {r.doc_id: r.text for r in PL.documents(pages, ["K"], votes).collect()}["e"].startswith("[Sida I]")
+    seen = pages.withColumn("ocr_text", F.when(F.col("doc_id") == "e", "recognised text"))
+    assert "recognised text" in {r.doc_id: r.text for r in PL.documents(seen, ["K"]).collect()}["e"]
+
+
+def test_headings_of_digits_and_of_a_table(spark):
+    from kpimill.operators import lines as LO
+
+    lines = spark.createDataFrame([("d", k, t) for k, t in enumerate(["Total 5", "12", "", "13", "2023", "7", "other", "8", None])], "doc_id string, line_no int, line string")
+    terms = spark.createDataFrame([("TOTAL",), ("2023",), ("tot",), (None,)], "term string")
+    assert [(r.line_no, r.line) for r in LO.repair_lines(lines, terms).where("line is not null").orderBy("line_no").collect()] == [(0, "Total 5 | 12 | 13"), (4, "2023 | 7"), (6, "other"), (7, "8")]
+    assert sorted(r.line_no for r in LO.headers(lines, terms).collect()) == [0, 4] and LO.headers(lines, terms.limit(0)).count() == 0
+
+
+def test_failures_are_rows(spark, tmp_path):
+    from kpimill.plugins import Retry
+    from kpimill.sources import files as SF
+
+    bad = spark.createDataFrame([("a.zip", bytearray(b"no archive"))], "path string, content binary")
+    assert [r.error.split(":")[0] for r in SF.open_archives(bad).collect()] == [r.error.split(":")[0] for r in SF.list_archives(bad).collect()] == ["BadZipFile"]
+
+    def parser(content):
+        raise ValueError("broken")
+
+    assert SF.parse_pages(bad, parser).count() == 0 and SF.parse_errors(bad, parser).first().error == "ValueError: broken"
+    (tmp_path / "p.md").write_text("Läs", encoding="utf-8")
+    assert SF.prompt(str(tmp_path / "p.md")) == "Läs"
+    calls = tmp_path / "calls"
+
+    def twice(chunk, year, metrics):
+        with open(calls, "a") as f:
+            f.write("x")
+        if calls.stat().st_size < 2:
+            raise TimeoutError
+        return "{}"
+
+    chunk = spark.createDataFrame([("d", 2023, 0, "x")], "doc_id string, report_year int, chunk_no int, chunk string")
+    assert PL.extracted(chunk, ["K"], twice, Retry(delay=0.0)).first()[2:] == ("{}", None)
+    assert PL.extracted(chunk, ["K"], lambda *a: (_ for _ in ()).throw(TimeoutError()), Retry(2, 0.0)).first().error.startswith("RuntimeError")
+
+
+def test_greedy_groups_of_many_words(spark):
+    words = [("w" * (k % 9 + 1)) for k in range(5000)]
+    got = one(spark, "t string", (" ".join(words),), C.greedy(C.words(F.col("t")), 50, lambda w: F.length(w).cast("long")))[0]
+    want, used = [[]], 0
+    for w in words:
+        want[-1].append(w)
+        used += len(w)
+        if used >= 50:
+            want.append([])
+            used = 0
+    assert got == [g for g in want if g]
+    assert one(spark, "t string", ("",), C.greedy(C.words(F.col("t")), 50, lambda w: F.length(w).cast("long")))[0] == []
+
+
 def test_stream(spark, tmp_path):
     from kpimill.streaming.ingest import redact_stream
 

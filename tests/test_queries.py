@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pivot_of_all_funds_loses_none(spark):
-    got = QUERIES["report_pivot_all"](spark, SF)
+    got = QUERIES["report_pivot"](spark, SF)
     cells = QUERIES["report_dense"](spark, SF).where("value is not null").select("year", "fund", "metric", "value")
     funds = {r.fund for r in cells.select("fund").distinct().collect()}
     assert len(funds) > 5 and {f"v_{f.lower().replace(' ', '_')}" for f in funds} <= set(got.columns)
