@@ -8,7 +8,8 @@ shingle sets.
 A bucket is never turned into all its pairs.  Its members form a tree first, in which no node has more than a few hundred
 neighbours, and each is compared with its parent, which links almost every copy of a group in as many comparisons as the
 group has members.  Only buckets that still hold several components are looked at again, in blocks of bounded size: what
-is not of the bucket's largest component is compared with everything, and the largest component not with itself.
+is not of the bucket's largest component is compared with everything, and the largest component not with itself.  Pairs
+found there are never rows: a cell of two blocks gets each text once, and its pairs are verified within its task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SIGNATURE = 480  #: compared minima, one byte each; the first ROWS * BANDS also
 BATCH = 48  #: minima compared between two looks at the posterior
 GROUP = 128  #: members of a bucket that share a parent, and such groups whose parents share one, on average
 BLOCK = 256  #: members of a bucket that one task compares with as many others
+CELL = 4 << 20  #: shingles that each side of a cell holds while its pairs are verified; a larger text is alone
 _U = np.uint64
 _SEEDS = np.random.default_rng(20240229)
 _XOR = _SEEDS.integers(0, 1 << 32, SIGNATURE, dtype=_U).astype(np.uint32)
@@ -153,17 +155,35 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _across(threshold: float, miss: float):
-    """Rows come sorted by task (key, i, j): node, component, block, bands, sig.  Pairs of different components survive."""
+_CELL = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("peers", pa.binary())])
 
-    def pairs(task: pa.Table) -> list[np.ndarray]:
+
+def _sides(node: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row the number of its node's stretch, of nodes with at most ``CELL`` shingles together or of one."""
+    ids, at, of = np.unique(node, return_index=True, return_inverse=True)
+    out, full = np.zeros(len(ids), np.int64), 0
+    for k, n in enumerate(size[at].tolist()):
+        full += n
+        out[k] = out[k - 1] if k else 0
+        if k and full > CELL:
+            out[k], full = out[k] + 1, n
+    return out[of]
+
+
+def _across(threshold: float, miss: float, percent: int):
+    """Cells of the pairs of different components that survive: a row for each node, with those it is to be verified against.
+
+    Rows come sorted by task (key, i, j): node, component, n_shingles, block, bands, sig.
+    """
+
+    def cells(task: pa.Table) -> Iterator[pa.RecordBatch]:
         key = task.column("key").to_numpy()
-        node, comp, block = (task.column(c).to_numpy() for c in ("node", "component", "block"))
+        node, comp, size, block = (task.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
         i, j = task.column("i").to_numpy(), task.column("j").to_numpy()
         bands = binary_rows(task.column("bands"), 8 * BANDS).view(np.int64)
         sig = binary_rows(task.column("sig"), SIGNATURE)
         edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        found = []
+        rows = {f.name: [] for f in _CELL}
         for s, e in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))):
             if i[s] == j[s]:
                 x, y = np.triu_indices(e - s, 1)
@@ -171,17 +191,33 @@ def _across(threshold: float, miss: float):
                 left, right = np.flatnonzero(block[s:e] == i[s]), np.flatnonzero(block[s:e] == j[s])
                 x, y = np.repeat(left, len(right)), np.tile(right, len(left))
             x, y = x + s, y + s
-            ok = comp[x] != comp[y]
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
             x, y = x[ok], y[ok]
+            found = []
             for at in range(0, len(x), 8192):
                 p, q = x[at : at + 8192], y[at : at + 8192]
                 keep = survivors(sig[p], sig[q], threshold, miss)
                 p, q = p[keep], q[keep]
                 same = bands[p] == bands[q]
                 first = bands[p, same.argmax(axis=1)] == key[s]  # a pair counts in the first bucket that it shares
-                p, q = node[p[first]], node[q[first]]
-                found.append(np.stack((np.minimum(p, q), np.maximum(p, q))))
-        return found
+                found.append(np.stack((p[first], q[first])))
+            p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            if not len(p):
+                continue
+            one, two = _sides(node[p], size[p]), _sides(node[q], size[q])
+            part = one * (two.max() + 1) + two
+            for k in np.unique(part):
+                a, b = p[part == k], q[part == k]
+                ids, at = np.unique(np.concatenate((node[a], node[b])), return_index=True)
+                a, b = np.unique(np.stack((node[a], node[b])), axis=1)  # sorted by a
+                peers = np.split(b, np.searchsorted(a, ids[1:]))
+                rows["node"].append(ids)
+                rows["component"].append(comp[np.concatenate((p[part == k], q[part == k]))[at]])
+                rows["peers"] += [v.tobytes() for v in peers]
+                for c, v in (("key", key[s]), ("i", i[s]), ("j", j[s]), ("part", k)):
+                    rows[c].append(np.full(len(ids), v))
+        if rows["node"]:
+            yield record_batch(_CELL, **{c: v if c == "peers" else np.concatenate(v) for c, v in rows.items()})
 
     def run(batches):
         rest = None
@@ -194,12 +230,57 @@ def _across(threshold: float, miss: float):
             whole = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
             cut = int(whole[-1]) + 1 if len(whole) else 0
             rest = t.slice(cut)
-            if cut and (found := pairs(t.slice(0, cut).combine_chunks())):
-                ab = np.concatenate(found, axis=1)
-                yield record_batch(_PAIR, a=ab[0], b=ab[1])
-        if rest is not None and len(rest) and (found := pairs(rest.combine_chunks())):
-            ab = np.concatenate(found, axis=1)
-            yield record_batch(_PAIR, a=ab[0], b=ab[1])
+            if cut:
+                yield from cells(t.slice(0, cut).combine_chunks())
+        if rest is not None and len(rest):
+            yield from cells(rest.combine_chunks())
+
+    return run
+
+
+def _verify_cells(width: int, percent: int):
+    """Rows come sorted by cell (key, i, j, part): node, component, peers, text.  Links that join components not yet joined in the cell."""
+
+    def links(nodes: dict) -> list[tuple[int, int]]:
+        parent = {c: c for c, _, _ in nodes.values()}
+
+        def find(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        def similar(one, two):
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            return 100 * both >= percent * (len(one) + len(two) - both)
+
+        out = []
+        for a, (ca, sa, peers) in nodes.items():
+            for b in np.frombuffer(peers, np.int64).tolist():
+                cb, sb, _ = nodes[b]
+                x, y = find(ca), find(cb)
+                if x != y and any(similar(one, two) for one in sa for two in sb):
+                    parent[x] = y
+                    out.append((min(a, b), max(a, b)))
+        return out
+
+    def run(batches):
+        now, nodes = None, {}
+        for rb in batches:
+            out = []
+            cells = zip(*(rb.column(k).to_pylist() for k in range(4)))
+            rows = zip(rb.column(4).to_pylist(), rb.column(5).to_pylist(), as_bytes(rb.column(6)), as_bytes(rb.column(7)))
+            for cell, (node, component, peers, text) in zip(cells, rows):
+                if cell != now:
+                    out += links(nodes)
+                    now, nodes = cell, {}
+                s = shingle_set(text, width)
+                sets = nodes.setdefault(node, (component, [], peers))[1]
+                if len(s):
+                    sets.append(s)
+            yield record_batch(_PAIR, a=[x for x, _ in out], b=[x for _, x in out])
+        out = links(nodes)
+        yield record_batch(_PAIR, a=[x for x, _ in out], b=[x for _, x in out])
 
     return run
 
@@ -222,13 +303,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     table = Staged(docs.mapInArrow(_signatures(width), schema), "signatures")
     first = Window.partitionBy("digest").orderBy("doc_id")
     usable = "digest is not null and doc_id is not null"
-    classes = Staged(table.df().where(usable).withColumn("at", F.row_number().over(first)).where("at = 1").select(F.col("doc_id").alias("node"), "digest", "bands", "sig"), "classes")
+    classes = Staged(table.df().where(usable).withColumn("at", F.row_number().over(first)).where("at = 1").select(F.col("doc_id").alias("node"), "n_shingles", "digest", "bands", "sig"), "classes")
     keys = classes.df().select("node", "bands").mapInArrow(_bucket_rows, "key long, node long")
     counts = Staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets").df()
     large = hot_keys(counts.where(F.col("n") > HOT), "key", "n")
     members = Staged(keys.join(counts, "key") if large is None else join_hot(keys, counts, "key", hot=large), "members")
     # one text for each node: classes that share an id are told apart by nothing but their text, so all are compared
-    nodes = classes.df().select("node", "digest", "sig", "bands").join(members.df().select("node").distinct(), "node", "left_semi")
+    nodes = classes.df().select("node", "n_shingles", "digest", "sig", "bands").join(members.df().select("node").distinct(), "node", "left_semi")
     texts = Staged(docs.join(members.df().select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "texts")
     threshold = percent / 100
 
@@ -260,10 +341,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     task = task.withColumn("block", F.when(main, F.col("rest") + F.pmod(h, F.col("more"))).otherwise(F.pmod(h, F.col("rest"))).cast("int"))
     task = task.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(main, 0).otherwise(F.col("more")))))
     task = task.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    task = task.join(nodes.select("node", "bands", "sig"), "node")
-    task = task.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "node", "component", "bands", "sig")
-    more = Staged(task.mapInArrow(_across(threshold, miss), "a long, b long").distinct(), "candidates")
-    late = Staged(linked(more.df()), "edges")
+    task = task.join(nodes.select("node", "n_shingles", "bands", "sig"), "node")
+    task = task.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "node", "component", "n_shingles", "bands", "sig")
+    cell = ["key", "i", "j", "part"]
+    more = Staged(task.mapInArrow(_across(threshold, miss, percent), "key long, i int, j int, part long, node long, component long, peers binary"), "cells")
+    both = more.df().join(texts.df().withColumnRenamed("doc_id", "node"), "node")
+    both = both.repartition(*cell).sortWithinPartitions(*cell).select(*cell, "node", "component", "peers", "text")
+    late = Staged(both.mapInArrow(_verify_cells(width, percent), "a long, b long"), "edges")
     comp = Staged(connected_components(edges.df().union(late.df())), "components")
 
     by_class = classes.df().select("digest", "node").join(comp.df(), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

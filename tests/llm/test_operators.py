@@ -146,6 +146,69 @@ def test_near_duplicates_of_a_large_group(spark):
     assert want[5] == 0 and got == want
 
 
+def test_near_misses_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Strays that come close to the threshold with every member of a large group: their pairs are verified within tasks."""
+    from kpimill.llm import near_dedup
+    from kpimill.llm.common import Staged
+
+    made = collections.Counter()
+
+    class Counted(Staged):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            made[name] = max(made[name], self.df().count())
+
+    monkeypatch.setattr(near_dedup, "Staged", Counted)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(750):
+        w = list(base)
+        for k in rng.choice(200, 2 if i % 5 else 20 + i % 8, replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == components(rows, 1) and 50 < len(set(got.values())) < 150
+    assert max(made.values()) <= near_dedup.BANDS * len(rows)
+
+
+@pytest.mark.parametrize("most", [1, 700, 10**6])
+def test_cells_of_any_size_find_the_same_components(monkeypatch, most):
+    import pyarrow as pa
+
+    from kpimill.llm import near_dedup as nd
+    from kpimill.llm.common import shingle_set
+
+    monkeypatch.setattr(nd, "CELL", most)
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(100)]
+        for k in rng.choice(100, int(rng.integers(3, 16)), replace=False):
+            w[k] = f"x{i}_{k}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t.encode(), 1) for t in texts]
+    sig = [(nd.signature(s) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets]
+    ids, n = list(range(60)), [len(s) for s in sets]
+    block = [int(i >= 25) for i in ids]
+    both = {"key": [7] * 60, "i": [0] * 60, "j": [1] * 60, "block": block, "node": ids, "component": ids, "n_shingles": n, "bands": [np.full(nd.BANDS, 7).tobytes()] * 60, "sig": sig}
+    types = {"i": pa.int32(), "j": pa.int32(), "block": pa.int32(), "bands": pa.binary(), "sig": pa.binary()}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.int64())) for c, v in both.items()], names=list(both))
+    cells = pa.Table.from_batches(nd._across(0.8, 1e-4, 80)(iter([batch.slice(0, 20), batch.slice(20)])))
+    assert len(set(cells.column("part").to_pylist())) == 1 if most == 10**6 else len(cells) > 60
+    cells = cells.append_column("text", pa.array([texts[k] for k in cells.column("node").to_pylist()])).sort_by("part").combine_chunks()
+    got = [x for rb in nd._verify_cells(1, 80)(iter(cells.to_batches(max_chunksize=11))) for x in zip(*(c.to_pylist() for c in rb.columns))]
+    exact = {(a, b) for a in range(25) for b in range(25, 60) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+
+    def joined(links):
+        label = list(ids)
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(k for k in ids if label[k] == x) for x in label}
+
+    assert set(got) <= exact and joined(got) == joined(exact) and 1 < len(joined(exact)) < 60
+
+
 def test_components_of_chains_and_stars(spark):
     from kpimill.llm.components import connected_components
 
